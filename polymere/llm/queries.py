@@ -6,16 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_index
+from . import curriculum, line_crf, shard, simhash_index, winnow
 from .common import table
 
 
+def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, quality, keep) of every document."""
+    return line_crf.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard and its place in it."""
+    return shard.shuffle_into_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, position) of the documents that training reaches, in its order."""
+    return curriculum.training_order(table(spark, sf_dir, "documents"))
+
+
+def op9_winnowing_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, doc_start, item_start, n_words) of every longest span that a document shares with a test text."""
+    return winnow.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kept_id, group_size) of every document with a near-duplicate of lesser doc_id."""
     return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_line_crf_quality": op6_line_crf_quality,
+    "op7_exact_shards": op7_exact_shards,
+    "op8_curriculum_mix": op8_curriculum_mix,
+    "op9_winnowing_spans": op9_winnowing_spans,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_curriculum_mix": curriculum.ORACLE_SQL,
+    "op9_winnowing_spans": winnow.ORACLE_SQL,
+}
