@@ -5,11 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import curriculum, line_crf, shard, simhash_index, winnow
+from . import byte_cnn, capture_merge, curriculum, guess_cost, line_crf, shard, simhash_index, telephony, text_density, winnow
 from .common import table
 
 
+def op1_telephony_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, codec, sample_rate, n_samples, pcm): every document's bytes taken as an 8 kHz payload, by the codec of its language's region."""
+    docs = table(spark, sf_dir, "documents")
+    codec = F.when(docs["lang"] == "en", "mulaw").when(docs["lang"] == "es", "ima_adpcm").otherwise("alaw")
+    return telephony.store_pcm(docs.select("doc_id", F.col("text").cast("binary").alias("payload"), codec.alias("codec")), "doc_id", "payload", "codec")
+
+
+def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, predicted, confidence, n_windows) of every document."""
+    return byte_cnn.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, match, context, value, guesses_log10, spans, secret) of every value in a credential's place."""
+    return guess_cost.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_capture_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's index record in global order; pages are fetched one a second from the start of 2024."""
+    pages = table(spark, sf_dir, "pages")
+    return capture_merge.merge_runs(capture_merge.captures_of(pages, F.lit(1704067200) + F.col("page_id")))
+
+
+def op5_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars, nodes, threshold, density_sum) of every page."""
+    return text_density.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, quality, keep) of every document."""
     return line_crf.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -36,6 +65,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_telephony_pcm": op1_telephony_pcm,
+    "op2_byte_cnn_language": op2_byte_cnn_language,
+    "op3_guess_cost_secrets": op3_guess_cost_secrets,
+    "op4_capture_histories": op4_capture_histories,
+    "op5_text_density": op5_text_density,
     "op6_line_crf_quality": op6_line_crf_quality,
     "op7_exact_shards": op7_exact_shards,
     "op8_curriculum_mix": op8_curriculum_mix,
@@ -43,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_capture_histories": capture_merge.ORACLE_SQL,
     "op8_curriculum_mix": curriculum.ORACLE_SQL,
     "op9_winnowing_spans": winnow.ORACLE_SQL,
 }
