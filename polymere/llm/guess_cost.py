@@ -49,7 +49,7 @@ she too use time year people good work first life world still great place right
 public bad same able database oracle mysql postgres docker cloud github service account connect office company business""".split()
 _LEET = str.maketrans({"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "2": "z"})
 _ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
-_SHIFTED = dict(zip('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\;',./"))
+_SHIFTED = dict(zip('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./"))
 _DATE = re.compile(r"(?:19|20)\d\d([-/. ]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/. ]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 _KINDS = ("word", "date", "repeat", "walk", "brute")
 _EACH = math.log10(2)
