@@ -41,6 +41,8 @@ BYTES = 16
 GUARANTEED = 11
 DISTANCE = 21
 MINIMUM = 3
+#: Ids of this many duplicates are sent to every executor (16 bytes each); more are joined by an exchange.
+HELD_IDS = 2_000_000
 TRIPLES = [t for base in (0, 8) for t in combinations(range(base, base + 8), 3)]
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int32)
 
@@ -196,7 +198,9 @@ def near_duplicates(docs: DataFrame, minimum: int = MINIMUM, distance: int = DIS
 
 def deduplicate(docs: DataFrame, minimum: int = MINIMUM, distance: int = DISTANCE) -> DataFrame:
     """docs without near-duplicates: the least doc_id of each group stays, once; rows of null doc_id or text stay."""
-    gone = near_duplicates(docs, minimum, distance).select(F.col("doc_id").alias("__gone"))
+    gone, _ = persist_table(near_duplicates(docs, minimum, distance).select(F.col("doc_id").alias("__gone")), "gone")
+    if gone.count() <= HELD_IDS:
+        gone = F.broadcast(gone)
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     repeated = docs.filter("doc_id is not null and text is not null").groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again")
     repeated, path = persist_table(repeated, "repeated")

@@ -147,6 +147,15 @@ def decode(payloads: list[np.ndarray | None], codecs: list[str | None], rate_in:
     return pcm
 
 
+def _binary(pcm: list[np.ndarray | None]) -> pa.Array:
+    """Samples as a binary column, by its buffers: pyarrow doesn't release memory views that it makes values of."""
+    there = np.array([s is not None for s in pcm], bool)
+    offsets = np.concatenate([[0], np.cumsum([0 if s is None else 2 * len(s) for s in pcm])]).astype(np.int32)
+    data = np.concatenate([np.zeros(0, np.int16), *[s for s in pcm if s is not None]]).astype("<i2", copy=False)
+    known = pa.py_buffer(np.packbits(there, bitorder="little"))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(pcm), [known, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def store_pcm(df: DataFrame, id_column: str, payload: str, codec: str, rate_in: int = 8000, rate_out: int = 16000, block: int = 256) -> DataFrame:
     """(id, codec, sample_rate, n_samples, pcm) of each row of df, pcm being little-endian 16-bit mono."""
 
@@ -163,7 +172,7 @@ def store_pcm(df: DataFrame, id_column: str, payload: str, codec: str, rate_in:
                 names = part.column("codec").to_pylist()
                 pcm = decode([None if not v.is_valid else np.frombuffer(v.as_buffer(), np.uint8) for v in part.column("payload")], names, rate_in, rate_out, block)
                 n = pa.array([None if s is None else len(s) for s in pcm], pa.int64())
-                store = pa.array([None if s is None else np.ascontiguousarray(s).view(np.uint8).data for s in pcm], pa.binary())
+                store = _binary(pcm)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("codec"), pa.array(np.full(len(pcm), rate_out, np.int32)), n, store], ["id", "codec", "sample_rate", "n_samples", "pcm"])
 
     rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(payload).cast("binary").alias("payload"), F.col(codec).cast("string").alias("codec"))
