@@ -165,10 +165,12 @@ def classify(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = np.zeros(len(texts), np.int64)
     for a, b, data, offsets in text_slices(texts, 1 << 19):
         w, text, have = windows_of(data, offsets)
+        n[a:b] = np.bincount(text, minlength=b - a)
+        if not net.languages:
+            continue
         q = net.probabilities(w) * have[:, None]
         for c in range(q.shape[1]):
             p[a:b, c] = np.bincount(text, weights=q[:, c], minlength=b - a)
-        n[a:b] = np.bincount(text, minlength=b - a)
         p[a:b] /= np.maximum(np.diff(offsets), 1)[:, None]
     return p, n
 
