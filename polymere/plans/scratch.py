@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder there, by name."""
+    return f"{shared_folder(spark)}/{name}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """df, written there and read back: its plan begins anew, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -1,3 +1,466 @@
-from .book import Book
+"""Documents, key-value, time series, graphs, search, vectors, space, triples, security, statistics and streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import documents as D
+from ..operators import graph as G
+from ..operators import kv as K
+from ..operators import rdf, search, security, series, spatial, statistics, vector
+from ..operators import relational as R
+from ..plans.scratch import folder
+from ..sources import files
+from ..streaming import windows as stream
+from .book import Book, engine, table
 
 book = Book()
+
+# -- documents
+
+
+@book.add("SELECT event_id, (props->>'$.k')::BIGINT AS k, json_type(props, '$.missing') AS missing FROM events")
+def doc_path_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.parse(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", D.field(d, "k", "bigint").alias("k"), D.field(d, "missing").alias("missing"))
+
+
+book.pipe("doc_path_filter", "from events | filter props.k > 50 | select { event_id, props.k as k }", "SELECT event_id, props->>'$.k' AS k FROM events WHERE (props->>'$.k')::BIGINT > 50", "events")
+
+
+@book.add("SELECT 'k' AS path, count(*) AS documents FROM events WHERE json_exists(props, '$.k')")
+def doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.paths(table(spark, sf_dir, "events").select(D.parse(F.col("props")).alias("d")), "d")
+
+
+@book.add("SELECT sha256(text) AS digest, strlen(any_value(text))::BIGINT AS bytes, count(*) AS copies, min(doc_id) AS first_key FROM documents GROUP BY text")
+def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.content_addressed(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+# -- key-value and versions
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of errors are empty: they delete."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "error", "").otherwise(F.col("event_id").cast("string")).alias("value"), F.col("event_id").alias("seq"))
+
+
+_KV = "WITH log AS (SELECT user_id AS key, CASE WHEN event_type = 'error' THEN '' ELSE event_id::VARCHAR END AS value, event_id AS seq FROM events), last AS (SELECT key, arg_max(value, seq) AS value FROM log GROUP BY key)"
+
+
+@book.add(f"{_KV} SELECT * FROM last WHERE value <> ''")
+def kv_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.live(_log(spark, sf_dir))
+
+
+@book.add(f"{_KV} SELECT * FROM last WHERE value <> '' AND key = 7")
+def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.get(_log(spark, sf_dir), 7)
+
+
+@book.add(f"{_KV} SELECT * FROM last WHERE value <> '' AND key >= 10 AND key < 30")
+def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.range_scan(_log(spark, sf_dir), 10, 30)
+
+
+@book.add(f"{_KV} SELECT (SELECT count(*) FROM log) AS rows_before, count(*) FILTER (value <> '') AS rows_after, count(*) FILTER (value = '') AS tombstones FROM last")
+def kv_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.compaction_stats(_log(spark, sf_dir))
+
+
+_CHAIN = "WITH c AS (SELECT user_id, event_id, value, event_id AS begin_ts, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS end_ts FROM events)"
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.versions(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id")
+
+
+@book.add(f"{_CHAIN} SELECT * FROM c")
+def versions_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(spark, sf_dir)
+
+
+@book.add(f"{_CHAIN} SELECT * FROM c WHERE begin_ts <= 500 AND (end_ts IS NULL OR end_ts > 500)")
+def versions_read_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.read_at(_chain(spark, sf_dir), 500)
+
+
+@book.add(f"{_CHAIN} SELECT * FROM c WHERE end_ts IS NULL OR end_ts > 700")
+def versions_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.collect_garbage(_chain(spark, sf_dir), 700)
+
+
+@book.add("""WITH w AS (SELECT o_orderkey AS txn, o_custkey AS key, o_orderkey - 500 AS read_ts, o_orderkey AS commit_ts FROM orders)
+SELECT txn, EXISTS (SELECT 1 FROM w x WHERE x.key = w.key AND x.commit_ts < w.commit_ts AND x.commit_ts > w.read_ts) AS conflict FROM w""")
+def txn_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return K.conflicts(o.select(F.col("o_orderkey").alias("txn"), F.col("o_custkey").alias("key"), (F.col("o_orderkey") - 500).alias("read_ts"), F.col("o_orderkey").alias("commit_ts")))
+
+
+@book.add("""WITH l AS (SELECT event_id AS lsn, user_id AS txn, CASE event_type WHEN 'purchase' THEN 'commit' ELSE 'write' END AS kind, event_id % 97 AS key, event_id::VARCHAR AS value FROM events),
+done AS (SELECT DISTINCT txn FROM l WHERE kind = 'commit')
+SELECT key, arg_max(value, lsn) AS value FROM l WHERE kind = 'write' AND txn IN (SELECT txn FROM done) GROUP BY key""")
+def log_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "commit").otherwise("write")
+    return K.recover(e.select(F.col("event_id").alias("lsn"), F.col("user_id").alias("txn"), kind.alias("kind"), (F.col("event_id") % 97).alias("key"), F.col("event_id").cast("string").alias("value")))
+
+
+# -- time series
+
+
+@book.add("SELECT event_id, ts, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' AND user_id = 3")
+def ts_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05", "2024-01-06"))
+    return series.range_scan(table(spark, sf_dir, "events"), "ts", low, high, "user_id", 3).select("event_id", "ts", "value")
+
+
+book.pipe(
+    "ts_tumbling",
+    "from events | window tumbling(1h) on ts { n: count(), lo: min(value), hi: max(value) }",
+    "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR AS window_end, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2",
+    "events",
+)
+book.pipe(
+    "ts_hopping",
+    "from events | window hopping(2h, 1h) on ts { n: count() }",
+    """SELECT b - h * INTERVAL 1 HOUR AS window_start, b - h * INTERVAL 1 HOUR + INTERVAL 2 HOUR AS window_end, count(*) AS n
+    FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS b FROM events), (VALUES (0), (1)) v(h) GROUP BY 1, 2""",
+    "events",
+)
+
+
+@book.add("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def ts_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.windowed(table(spark, sf_dir, "events"), "session", [6 * 3_600_000], F.col("ts"), [F.col("user_id")], [F.count("*").alias("n")])
+
+
+@book.add("""WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS t, count(*) AS n FROM events GROUP BY 1, 2),
+g AS (SELECT event_type, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM w GROUP BY 1),
+j AS (SELECT g.event_type, g.t, w.n, last_value(w.n IGNORE NULLS) OVER b AS n0, last_value(CASE WHEN w.n IS NOT NULL THEN epoch(g.t) END IGNORE NULLS) OVER b AS t0,
+ first_value(w.n IGNORE NULLS) OVER a AS n1, first_value(CASE WHEN w.n IS NOT NULL THEN epoch(g.t) END IGNORE NULLS) OVER a AS t1 FROM g LEFT JOIN w USING (event_type, t)
+ WINDOW b AS (PARTITION BY g.event_type ORDER BY g.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY g.event_type ORDER BY g.t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_type, t AS window_start, round(coalesce(n::DOUBLE, n0 + (n1 - n0) * ((epoch(t) - t0) / (t1 - t0))), 6) AS n FROM j""")
+def ts_fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = engine(spark, sf_dir, "events").query("from events | window tumbling(1h) on ts group_by event_type { n: count() } | fill gaps with linear")
+    return q.select("event_type", "window_start", F.round("n", 6).alias("n"))
+
+
+@book.add("""SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 10000 DAY AS ots FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) = 1) o
+ON e.user_id = o.o_custkey AND e.ts >= o.ots - INTERVAL 2000 DAY""")
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))
+    o = o.select(F.col("o_custkey").alias("user_id"), "o_orderkey", (F.col("o_orderdate") + F.expr("INTERVAL 8000 DAY")).alias("ots"))
+    return series.as_of_join(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), o, ["user_id"], "ts", "ots", ["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+# -- graphs
+
+
+_EDGES = """e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'lives' AS type FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'trades' FROM supplier
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'within' FROM nation UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'placed' FROM orders)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [("customer", "c", "c_custkey", "n", "c_nationkey", "lives"), ("supplier", "s", "s_suppkey", "n", "s_nationkey", "trades"), ("nation", "n", "n_nationkey", "r", "n_regionkey", "within"), ("orders", "c", "o_custkey", "o", "o_orderkey", "placed")]
+    out = None
+    for t, a, x, b, y, kind in parts:
+        e = table(spark, sf_dir, t).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"), F.lit(kind).alias("type"))
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [("customer", "c", "c_custkey", "Customer", "c_name"), ("supplier", "s", "s_suppkey", "Supplier", "s_name"), ("nation", "n", "n_nationkey", "Nation", "n_name"), ("region", "r", "r_regionkey", "Region", "r_name"), ("orders", "o", "o_orderkey", "Order", "o_orderstatus")]
+    out = None
+    for t, a, x, label, name in parts:
+        n = table(spark, sf_dir, t).select(F.concat(F.lit(a), x).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@book.add(f"WITH {_EDGES} SELECT dst FROM e WHERE src = 'c7'")
+def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.neighbors(_edges(spark, sf_dir), "c7")
+
+
+@book.add(f"WITH {_EDGES} SELECT DISTINCT b.dst AS id FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 'c7' AND b.dst <> 'c7'")
+def graph_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.two_hop(_edges(spark, sf_dir), "c7")
+
+
+@book.add(f"WITH {_EDGES} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id")
+def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degrees(_edges(spark, sf_dir))
+
+
+@book.add(f"WITH RECURSIVE {_EDGES}, b AS (SELECT src AS x, dst AS y FROM e WHERE type <> 'placed' UNION ALL SELECT dst, src FROM e WHERE type <> 'placed'), w(id, depth) AS (SELECT 'r0', 0 UNION SELECT y, depth + 1 FROM w JOIN b ON id = x WHERE depth < 3) SELECT min(depth) AS depth, id FROM w GROUP BY id")
+def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir).filter("type <> 'placed'")
+    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return G.bfs(both, "r0", 3)
+
+
+@book.add(f"WITH {_EDGES} SELECT DISTINCT 'Customer' AS kind, a.src AS customer, r_name AS region, 2 AS hops FROM e a JOIN e b ON a.dst = b.src JOIN region ON b.dst = 'r' || r_regionkey WHERE a.src LIKE 'c%'")
+def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir).register_graph("world", _nodes(spark, sf_dir), _edges(spark, sf_dir))
+    return e.query("from graph world | match (a:Customer)-[*1..2]->(b:Region) | return distinct a.label as kind, a.id as customer, b.name as region, path_length() as hops")
+
+
+# -- search
+
+_WORDS = r"""w AS (SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents) WHERE word <> '' AND word NOT IN ({stops})),
+p AS (SELECT doc_id, word AS term, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT count(*)::DOUBLE AS n FROM documents), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1)""".replace("{stops}", ", ".join(f"'{w}'" for w in sorted(search.T.STOPWORDS)))
+_QUERY = "attion nttionat thanea"
+_IN = "('attion', 'nttionat', 'thanea')"
+_SCORED = f"s AS (SELECT doc_id, sum((1 + ln(tf)) * ln(n / df)) AS score, count(*) AS k FROM p JOIN df USING (term), n WHERE term IN {_IN} GROUP BY 1)"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+    return search.index(table(spark, sf_dir, "documents"), stemmed=False)
+
+
+@book.add(f"WITH {_WORDS} SELECT term, df.df AS doc_freq, sum(tf)::BIGINT AS occurrences FROM p JOIN df USING (term) GROUP BY 1, 2")
+def search_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).vocabulary()
+
+
+@book.add(f"WITH {_WORDS}, {_SCORED} SELECT doc_id, round(score, 6) AS score FROM s WHERE k = 3")
+def search_tfidf_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.tf_idf(_index(spark, sf_dir), _QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@book.add(f"WITH {_WORDS}, {_SCORED} SELECT doc_id, round(score, 6) AS score FROM s")
+def search_tfidf_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.tf_idf(_index(spark, sf_dir), _QUERY, "or").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@book.add(f"""WITH {_WORDS}, len AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS len FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY 1), m AS (SELECT avg(len) AS m FROM len)
+SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / m))), 6) AS score FROM p JOIN df USING (term) JOIN len USING (doc_id), n, m WHERE term IN {_IN} GROUP BY 1""")
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(_index(spark, sf_dir), _QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@book.add("SELECT DISTINCT p_name AS term, levenshtein(p_name, 'part 100')::INT AS distance FROM part WHERE levenshtein(p_name, 'part 100') <= 3")
+def search_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.fuzzy_terms(table(spark, sf_dir, "part").select(F.col("p_name").alias("term")).distinct(), "part 100", 3)
+
+
+@book.add(f"WITH {_WORDS} SELECT DISTINCT doc_id FROM p WHERE levenshtein(term, 'attions') <= 1")
+def search_fuzzy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.fuzzy_search(_index(spark, sf_dir), "attions", 1)
+
+
+@book.add()
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.ranked(search.index(docs), docs, _QUERY, 1, 20)
+
+
+# -- vectors
+
+_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+
+
+@book.add(f"SELECT b.vec_id, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY {_COS} DESC, b.vec_id LIMIT 10")
+def vector_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    one = e.filter("vec_id = 0").first()
+    return vector.nearest(e, one["embedding"], 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@book.add(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS similarity, (row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 12) DESC, b.vec_id))::INT AS rank FROM embeddings a, embeddings b QUALIFY rank <= 5")
+def vector_nearest_to_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return vector.nearest_to_all(e, e, 5).withColumn("similarity", F.round("similarity", 6))
+
+
+# -- space
+
+_POINT = "p AS (SELECT c_custkey AS id, ((c_custkey * 37) % 360 - 180)::DOUBLE AS x, ((c_custkey * 17) % 170 - 85)::DOUBLE AS y FROM customer)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("id"), ((k * 37) % 360 - 180).cast("double").alias("x"), ((k * 17) % 170 - 85).cast("double").alias("y"))
+
+
+@book.add(f"WITH {_POINT} SELECT id FROM p WHERE x BETWEEN -20 AND 60 AND y BETWEEN -10 AND 30")
+def spatial_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).filter(spatial.within_box(F.col("x"), F.col("y"), (-20, -10, 60, 30))).select("id")
+
+
+@book.add(f"WITH {_POINT} SELECT id, round(sqrt((x - 10) * (x - 10) + (y - 20) * (y - 20)), 6) AS distance FROM p ORDER BY sqrt((x - 10) * (x - 10) + (y - 20) * (y - 20)), id LIMIT 15")
+def spatial_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.nearest(_points(spark, sf_dir), "x", "y", 10, 20, 15, "id").select("id", F.round("distance", 6).alias("distance"))
+
+
+@book.add(f"WITH {_POINT} SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 5 AND a.id < b.id")
+def spatial_distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (_points(spark, sf_dir).toDF(n, f"{n}x", f"{n}y") for n in "ab")
+    return spatial.distance_join(a, b, "ax", "ay", "bx", "by", 5.0).filter("a < b").select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@book.add(f"WITH {_POINT}, q AS (SELECT s_suppkey AS box, ((s_suppkey * 53) % 340 - 170)::DOUBLE AS u, ((s_suppkey * 29) % 150 - 75)::DOUBLE AS v FROM supplier) SELECT box, id FROM q JOIN p ON x > u AND x < u + 9 AND y > v AND y < v + 6")
+def spatial_geometry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.alias("box"), ((k * 53) % 340 - 170).alias("u"), ((k * 29) % 150 - 75).alias("v"))
+    boxes = s.select("box", F.format_string("POLYGON ((%1$d %2$d, %3$d %2$d, %3$d %4$d, %1$d %4$d, %1$d %2$d))", "u", "v", F.col("u") + 9, F.col("v") + 6).alias("area"))
+    points = _points(spark, sf_dir).select("id", F.format_string("POINT (%.1f %.1f)", "x", "y").alias("at"))
+    return spatial.geometry_join(boxes, points, "area", "at", spatial.st_contains, 10.0).select("box", "id")
+
+
+@book.add()
+def spatial_geohash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).select("id", spatial.encode_geohash(F.col("y"), F.col("x"), 9).alias("geohash"))
+
+
+@book.add(f"WITH {_POINT} SELECT id, round(x * 20037508.342789244 / 180, 3) AS mx, round(ln(tan(radians((y + 90) / 2))) / pi() * 20037508.342789244, 3) AS my FROM p")
+def spatial_web_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mx, my = spatial.to_web_mercator(F.col("x"), F.col("y"))
+    return _points(spark, sf_dir).select("id", F.round(mx, 3).alias("mx"), F.round(my, 3).alias("my"))
+
+
+# -- triples
+
+
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    iri = lambda kind, k: F.concat(F.lit(f"<{kind}/"), k, F.lit(">"))
+    number = F.concat(F.lit('"'), F.floor("c_acctbal"), F.lit('"^^<int>'))
+    parts = [
+        c.select(iri("customer", "c_custkey").alias("s"), F.lit("<in>").alias("p"), iri("nation", "c_nationkey").alias("o")),
+        c.select(iri("customer", "c_custkey").alias("s"), F.lit("<balance>").alias("p"), number.alias("o")),
+        n.select(iri("nation", "n_nationkey").alias("s"), F.lit("<part>").alias("p"), iri("region", "n_regionkey").alias("o")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@book.add("SELECT '<customer/' || c_custkey || '>' AS s, '<in>' AS p, '<nation/3>' AS o FROM customer WHERE c_nationkey = 3")
+def rdf_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rdf.match_pattern(_triples(spark, sf_dir), p="<in>", o="<nation/3>")
+
+
+@book.add("""SELECT '<customer/' || c_custkey || '>' AS who, '<region/' || n_regionkey || '>' AS region, '"' || floor(c_acctbal)::BIGINT || '"^^<int>' AS money
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE floor(c_acctbal) > 9000""")
+def rdf_sparql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rdf.select(_triples(spark, sf_dir), "SELECT ?who ?region ?money WHERE { ?who <in> ?n . ?n <part> ?region . ?who <balance> ?money . FILTER(?money > 9000) }")
+
+
+# -- security
+
+
+@book.add("""SELECT c_custkey, repeat('*', length(c_name)) AS c_name, left(c_mktsegment, 2) || repeat('*', length(c_mktsegment) - 3) || right(c_mktsegment, 1) AS c_mktsegment,
+sha256(c_acctbal::VARCHAR) AS c_acctbal FROM (SELECT c_custkey, c_name, c_mktsegment, floor(c_acctbal)::BIGINT AS c_acctbal FROM customer)""")
+def mask_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.floor("c_acctbal").alias("c_acctbal"))
+    rules = [security.Rule("c_name", security.mask_full), security.Rule("c_mktsegment", security.mask_null, ("guest",)), security.Rule("c_mktsegment", lambda x: security.mask_partial(x, 2, 1)), security.Rule("c_acctbal", security.mask_hash, ("analyst",))]
+    return security.apply_policy(c, rules, ["analyst"])
+
+
+@book.add("""SELECT event_id, CASE user_id % 3 WHEN 0 THEN true WHEN 1 THEN event_type = 'view' ELSE event_type IN ('view', 'click') END AS allowed FROM events""")
+def access_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    members = e.select(F.col("user_id").alias("user"), F.element_at(F.array(F.lit("admin"), F.lit("reader"), F.lit("analyst")), (F.col("user_id") % 3 + 1).cast("int")).alias("role")).distinct()
+    asked = e.select("event_id", F.col("user_id").alias("user"), F.concat(F.lit("events/"), "event_type").alias("resource"), F.lit("read").alias("permission"))
+    return security.allowed(asked, members, [("admin", "*", "*"), ("reader", "events/vi*", "read"), ("analyst", "events/view", "read"), ("analyst", "events/cl?ck", "read"), ("analyst", "*", "write")]).select("event_id", "allowed")
+
+
+@book.add("""WITH h AS (SELECT event_id, user_id, sha256(event_id || '|' || event_type || '|' || user_id) AS entry_hash FROM events)
+SELECT event_id, entry_hash, coalesce(lag(entry_hash) OVER (PARTITION BY user_id ORDER BY event_id), '') AS prev_hash FROM h""")
+def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return security.chain(table(spark, sf_dir, "events"), "event_id", ["event_type", "user_id"], "user_id").select("event_id", "entry_hash", "prev_hash")
+
+
+@book.add("SELECT event_id FROM events WHERE false")
+def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = security.chain(table(spark, sf_dir, "events"), "event_id", ["event_type", "user_id"], "user_id")
+    return security.broken_links(made, "event_id", ["event_type", "user_id"], "user_id").select("event_id")
+
+
+@book.add()
+def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return security.merkle_root(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority")
+
+
+@book.add("SELECT c_custkey, c_name AS again FROM customer")
+def field_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = "0123456789abcdef"
+    held = table(spark, sf_dir, "customer").select("c_custkey", security.encrypt(F.col("c_name"), key, "c_name").alias("held"))
+    return held.select("c_custkey", security.decrypt(F.col("held"), key, "c_name").alias("again"))
+
+
+# -- statistics
+
+
+@book.add("""SELECT 'o_orderstatus' AS "column", count(*) AS n, 0::BIGINT AS nulls, count(DISTINCT o_orderstatus) AS distinct_values, min(o_orderstatus) AS lo, max(o_orderstatus) AS hi FROM orders
+UNION ALL SELECT 'o_custkey', count(*), 0, count(DISTINCT o_custkey), min(o_custkey)::VARCHAR, max(o_custkey)::VARCHAR FROM orders""")
+def stats_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.profile(table(spark, sf_dir, "orders"), "o_orderstatus", "o_custkey")
+
+
+@book.add("SELECT l_suppkey AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def stats_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.most_common(table(spark, sf_dir, "lineitem"), "l_suppkey", 10)
+
+
+@book.add()
+def stats_distinct_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.distinct_estimate(table(spark, sf_dir, "lineitem"), "l_orderkey", by="l_returnflag")
+
+
+@book.add()
+def stats_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 20)
+
+
+@book.add("SELECT 'dictionary' AS encoding")
+def stats_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.encoding_advice(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_orderkey")
+
+
+# -- files and streams
+
+
+@book.add("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = folder(spark, f"csv-{uuid.uuid4().hex}")
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.option("header", True).csv(at)
+    return files.read_csv(spark, at)
+
+
+@book.add("SELECT event_id, event_type, value FROM events")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = folder(spark, f"json-{uuid.uuid4().hex}")
+    table(spark, sf_dir, "events").select("event_id", "event_type", "value").write.json(at)
+    d = files.read_json(spark, at, variant=True)
+    return d.select(D.field(F.col("document"), "event_id", "bigint").alias("event_id"), D.field(F.col("document"), "event_type").alias("event_type"), D.field(F.col("document"), "value", "double").alias("value"))
+
+
+@book.add("SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start FROM events GROUP BY event_type, window_start")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    like = table(spark, sf_dir, "events")
+    name = f"stream_{uuid.uuid4().hex}"
+    s = stream.read_files(spark, sf_dir, like, pattern="events.parquet*")
+    w = stream.windowed(s, "tumbling", [86_400_000], "ts", ["event_type"], [F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")], "1 day")
+    stream.run_available(w, name, folder(spark, name), "complete")
+    return spark.table(name).select("event_type", "n", "lo", "hi", F.col("window_start").cast("timestamp_ntz").alias("window_start"))
+
+
+@book.add("SELECT l_returnflag, count(*) AS n FROM lineitem JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal > 5000) ON l_suppkey = s_suppkey GROUP BY 1")
+def registered_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "lineitem", "supplier").register_function("rich", lambda c: c > 5000)
+    return e.query("from lineitem | filter l_suppkey in (from supplier | filter rich(s_acctbal) | select { s_suppkey }) | group_by l_returnflag { n: count() }")
+
+
+@book.add("SELECT c_custkey, max(o_totalprice) AS most FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def top_order_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
+    return R.equi_join(table(spark, sf_dir, "orders"), c, "o_custkey", "c_custkey").groupBy("c_custkey").agg(F.max("o_totalprice").alias("most"))
