@@ -12,12 +12,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..plans.scratch import cut
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type in words would need a session at import
 def _stem(words: pd.Series) -> pd.Series:
     return words.map(T.stem)
 
@@ -114,13 +115,17 @@ def fuzzy_search(ix: Index, word: str, distance: int) -> DataFrame:
     return ix.postings.join(close, "term", "left_semi").select("doc_id").distinct()
 
 
+def _back_by(i: int):
+    return lambda p: p - i
+
+
 def phrase(ix: Index, query: str) -> DataFrame:
     """(doc_id) of documents in which the query's terms follow one another."""
     terms = ix.terms(query)
     hit = ix.postings.filter(F.col("term").isin(sorted(set(terms)))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("__at"))
     starts = None
     for i, t in enumerate(terms):
-        at = F.transform(F.col("__at")[t], lambda p, i=i: p - i)
+        at = F.transform(F.col("__at")[t], _back_by(i))
         starts = at if starts is None else F.array_intersect(starts, at)
     return hit.filter(F.size(starts) > 0).select("doc_id")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def mask_full(c: Column) -> Column:
-    return F.repeat(F.lit("*"), F.greatest(F.length(c), F.lit(1)))
+    return F.when(c.isNotNull(), F.repeat(F.lit("*"), F.greatest(F.length(c), F.lit(1))))
 
 
 def mask_partial(c: Column, prefix: int, suffix: int) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 
@@ -44,7 +45,12 @@ def geohash_bounds(code: str) -> tuple[float, float, float, float]:
     return box[0][0], box[1][0], box[0][1], box[1][1]
 
 
-@F.pandas_udf("struct<lat:double,lon:double,min_lat:double,min_lon:double,max_lat:double,max_lon:double>")
+def _doubles(*names: str) -> T.StructType:
+    """As an object: a type in words would need a session at import."""
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+@F.pandas_udf(_doubles("lat", "lon", "min_lat", "min_lon", "max_lat", "max_lon"))
 def decode_geohash(code: pd.Series) -> pd.DataFrame:
     """The cell's centre and bounds."""
     rows = [geohash_bounds(c or "") for c in code]
@@ -83,7 +89,7 @@ def distance_join(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str,
     return both.withColumn("distance", F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry))).filter(F.col("distance") <= radius).drop("__dx", "__dy", "__cx", "__cy", "__rx", "__ry")
 
 
-def _binary(f: Callable, kind: str):
+def _binary(f: Callable, kind: T.DataType):
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else f(G.parse(x), G.parse(y)) for x, y in zip(a, b)])
@@ -91,23 +97,23 @@ def _binary(f: Callable, kind: str):
     return run
 
 
-st_intersects = _binary(G.intersects, "boolean")
-st_disjoint = _binary(lambda a, b: not G.intersects(a, b), "boolean")
-st_contains = _binary(G.contains, "boolean")
-st_within = _binary(lambda a, b: G.contains(b, a), "boolean")
-st_equals = _binary(G.equals, "boolean")
-st_touches = _binary(G.touches, "boolean")
-st_crosses = _binary(G.crosses, "boolean")
-st_overlaps = _binary(G.overlaps, "boolean")
-st_distance = _binary(G.distance, "double")
+st_intersects = _binary(G.intersects, T.BooleanType())
+st_disjoint = _binary(lambda a, b: not G.intersects(a, b), T.BooleanType())
+st_contains = _binary(G.contains, T.BooleanType())
+st_within = _binary(lambda a, b: G.contains(b, a), T.BooleanType())
+st_equals = _binary(G.equals, T.BooleanType())
+st_touches = _binary(G.touches, T.BooleanType())
+st_crosses = _binary(G.crosses, T.BooleanType())
+st_overlaps = _binary(G.overlaps, T.BooleanType())
+st_distance = _binary(G.distance, T.DoubleType())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def st_buffer(geom: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([None if g is None else G.buffer(g, r) for g, r in zip(geom, d)])
 
 
-@F.pandas_udf("struct<x0:double,y0:double,x1:double,y1:double>")
+@F.pandas_udf(_doubles("x0", "y0", "x1", "y1"))
 def st_bounds(geom: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None if g is None else G.bounds(G.parse(g))) or (None,) * 4 for g in geom], columns=["x0", "y0", "x1", "y1"], dtype="float64")
 
