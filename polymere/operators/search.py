@@ -25,7 +25,7 @@ def _stem(words: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class Index:
-    """postings: doc_id, term, tf, positions. docs: doc_id of every document, terms or none."""
+    """postings: doc_id, term, tf, and positions if kept. docs: doc_id of every document, terms or none."""
 
     postings: DataFrame
     docs: DataFrame
@@ -51,16 +51,20 @@ def words_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return rows.filter(~F.col("word").isin(sorted(T.STOPWORDS)))
 
 
-def index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", stemmed: bool = True) -> Index:
-    """The postings are written to the shared folder once, sorted by term, so that a query reads its own terms' row groups."""
+def index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", stemmed: bool = True, positions: bool = False) -> Index:
+    """The postings are written to the shared folder once, sorted by term, so that a query reads its own terms' row groups.
+
+    Ranges of (term, doc_id) keep a frequent term's postings from being one
+    task's. Positions, which phrases need, are kept if asked for.
+    """
     words = words_of(docs, id_column, text)
     if stemmed:
         stems = words.select("word").distinct().select(F.col("word").alias("__w"), _stem("word").alias("term"))
         words = words.join(stems, F.col("word") == F.col("__w"))
     else:
         words = words.withColumnRenamed("word", "term")
-    postings = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    postings = cut(postings.repartition("term").sortWithinPartitions("term", "doc_id"), "postings")
+    postings = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), *([F.sort_array(F.collect_list("position")).alias("positions")] if positions else []))
+    postings = cut(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
     return Index(postings, docs.select(F.col(id_column).alias("doc_id")), stemmed)
 
 
@@ -120,7 +124,7 @@ def _back_by(i: int):
 
 
 def phrase(ix: Index, query: str) -> DataFrame:
-    """(doc_id) of documents in which the query's terms follow one another."""
+    """(doc_id) of documents in which the query's terms follow one another; the index must have positions."""
     terms = ix.terms(query)
     hit = ix.postings.filter(F.col("term").isin(sorted(set(terms)))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("__at"))
     starts = None
