@@ -44,6 +44,9 @@ MINIMUM = 3
 #: Ids of this many duplicates are sent to every executor (16 bytes each); more are joined by an exchange.
 HELD_IDS = 2_000_000
 TRIPLES = [t for base in (0, 8) for t in combinations(range(base, base + 8), 3)]
+#: The other 13 positions of each triple.
+_REST = np.array([[p for p in range(BYTES) if p not in t] for t in TRIPLES])
+_OF_TRIPLE = np.array(TRIPLES)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int32)
 
 
@@ -82,14 +85,27 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What an entry says of a fingerprint isn't sent again: hi and lo hold its other 13 bytes, then zeros, which compress."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             b = batch.slice(at, 2000)
             node, hi, lo = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "hi", "lo"))
             flat = np.stack([hi, lo], axis=1).view(np.uint8).reshape(len(node), BYTES).astype(np.int64)
             keys = np.stack([(k << 24) | (flat[:, x] << 16) | (flat[:, y] << 8) | flat[:, z] for k, (x, y, z) in enumerate(TRIPLES)], axis=1)
-            n = len(TRIPLES)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int32)), *(pa.array(np.repeat(c, n)) for c in (node, hi, lo))], ["entry", "node", "hi", "lo"])
+            rest = np.zeros((keys.size, BYTES), np.uint8)
+            rest[:, : _REST.shape[1]] = flat.astype(np.uint8)[:, _REST].reshape(keys.size, -1)
+            rest = rest.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int32)), pa.array(np.repeat(node, len(TRIPLES))), pa.array(rest[:, 0].copy()), pa.array(rest[:, 1].copy())], ["entry", "node", "hi", "lo"])
+
+
+def whole(entry: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hi and lo of the fingerprints again, from entries."""
+    rest = np.ascontiguousarray(np.stack([hi, lo], axis=1)).view(np.uint8)
+    out, row, k = np.empty((len(entry), BYTES), np.uint8), np.arange(len(entry))[:, None], entry >> 24
+    out[row, _REST[k]] = rest[:, : _REST.shape[1]]
+    out[row, _OF_TRIPLE[k]] = np.stack([entry >> 16, entry >> 8, entry], axis=1) & 255
+    out = out.view(np.int64)
+    return out[:, 0].copy(), out[:, 1].copy()
 
 
 def near(hi: np.ndarray, lo: np.ndarray, hi2: np.ndarray, lo2: np.ndarray, minimum: int, distance: int) -> np.ndarray:
@@ -145,7 +161,14 @@ def _find(minimum: int, distance: int):
         all_ = [b for b in batches if b.num_rows]
         if all_:
             t = pa.Table.from_batches(all_)
-            p = links(*(t.column(c).to_numpy() for c in ("entry", "node", "hi", "lo")), minimum, distance)
+            entry, node, hi, lo = (t.column(c).to_numpy() for c in ("entry", "node", "hi", "lo"))
+            # entries of one fingerprint have no pair, and needn't be made whole
+            order = np.argsort(entry, kind="stable")
+            ranked = entry[order]
+            same = ranked[1:] == ranked[:-1]
+            some = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            entry, node = entry[some], node[some]
+            p = links(entry, node, *whole(entry, hi[some], lo[some]), minimum, distance)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
     return run
