@@ -12,6 +12,9 @@ list's longest length at most, repeats have units of up to eight characters and
 end where they end, a walk is cut anywhere, and a brute-force span grows by one
 character at a time, in a state of its own.
 
+After `is`, which prose uses too, a value without quotes must hold a character
+that is neither a letter nor the end of a sentence.
+
 Defined results: null and empty texts have no value; a null doc_id is carried as
 it is; each occurrence in each row is a row of its own, numbered from 0 in order
 of place. Of ways of equal cost that of fewer spans wins, then that whose spans
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 STRONG = 10.0
 CONTEXT = (
     r"(?i)(?<![a-z0-9])(pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|client[_-]?secret|api[_-]?key|access[_-]?key(?:[_-]?id)?"
-    r"|private[_-]?key|auth(?:[_-]?token)?|access[_-]?token|token|credentials?|bearer)[\"']?\s*(?:=>?|:|\bis\b)\s*"
+    r"|private[_-]?key|auth(?:[_-]?token)?|access[_-]?token|token|credentials?|bearer)[\"']?\s*"
+    r"(?:=>?|:|\bis\b(?=\s*(?:[\"']|[^\s\"',;]*[^\s\"',;.:!?)\p{L}])))\s*"
     r"(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"',;]{4,}))"
 )
 WORDS = """123456 password 123456789 12345678 12345 qwerty abc123 football monkey letmein dragon baseball iloveyou master
