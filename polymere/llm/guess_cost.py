@@ -1,7 +1,8 @@
 """Secret scans: what it would cost to guess the values that stand where credentials stand.
 
-Values are found by their context (a credential word, then `=`, `:` or `is`), in
-the JVM. For each, dynamic programming over its characters finds the cheapest
+Values are found by their context: a credential word, also at a capital within a
+name, then `=`, `:` or `is`, or white space after `bearer`. The JVM keeps the
+texts that hold such a word. For each value, dynamic programming over its characters finds the cheapest
 way to cut it into words of a ranked list, dates, repeats, keyboard walks and
 brute-force spans; the cost of a way is the sum of the decimal logarithms of its
 spans' guesses, plus log10(2) for each span after the first. A value of
@@ -12,8 +13,10 @@ list's longest length at most, repeats have units of up to eight characters and
 end where they end, a walk is cut anywhere, and a brute-force span grows by one
 character at a time, in a state of its own.
 
-After `is`, which prose uses too, a value without quotes must hold a character
-that is neither a letter nor the end of a sentence.
+A value without quotes goes to the next white space, or to a separator before
+another credential word; closing punctuation at its end isn't of it. After `is`
+and after `bearer` and white space, which prose uses too, a value of letters only
+and without quotes is a row only if its cost makes it a secret.
 
 Defined results: null and empty texts have no value; a null doc_id is carried as
 it is; each occurrence in each row is a row of its own, numbered from 0 in order
@@ -32,12 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRONG = 10.0
-CONTEXT = (
-    r"(?i)(?<![a-z0-9])(pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|client[_-]?secret|api[_-]?key|access[_-]?key(?:[_-]?id)?"
-    r"|private[_-]?key|auth(?:[_-]?token)?|access[_-]?token|token|credentials?|bearer)[\"']?\s*"
-    r"(?:=>?|:|\bis\b(?=\s*(?:[\"']|[^\s\"',;]*[^\s\"',;.:!?)\p{L}])))\s*"
-    r"(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"',;]{4,}))"
+_NAME = (
+    r"(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|client[_-]?secret|api[_-]?key|access[_-]?key(?:[_-]?id)?"
+    r"|private[_-]?key|auth(?:orization|[_-]?token)?|access[_-]?token|token|credentials?|bearer)"
 )
+#: Of every text with a value, in the JVM's expressions and in Python's.
+MAY_HOLD = rf"(?i){_NAME}[\"']?\s*(?:=|:|is\b)|bearer\s"
+_START = r"(?-i:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+_BARE = rf"(?![\"'])((?:[^\s,;&]|[,;&](?![\"']?(?:\w|[.-]){{0,40}}?{_START}{_NAME}[\"']?\s*[=:])){{4,}})"
+CONTEXT = re.compile(
+    rf"(?i){_START}(?:(authorization)[\"']?\s*[:=]\s*[\"']?(?:basic|digest|token|apikey)\s+{_BARE}|(bearer)\s+{_BARE}"
+    rf"|({_NAME})[\"']?\s*(=+>?|:=?|\bis\b:?)\s*(?![\"']?bearer\s)(?:\"([^\"\n]{{4,}})\"|'([^'\n]{{4,}})'|{_BARE}))",
+    re.ASCII,
+)
+_OPENING = {")": "(", "]": "[", "}": "{", ">": "<"}
 WORDS = """123456 password 123456789 12345678 12345 qwerty abc123 football monkey letmein dragon baseball iloveyou master
 sunshine ashley bailey shadow superman qazwsx michael welcome login admin princess solo starwars passw0rd hello freedom
 whatever trustno1 jordan harley ranger hunter buster soccer hockey killer george sexy andrew charlie thomas robert daniel
@@ -197,20 +208,45 @@ def cheapest(s: str, ranks: Ranks) -> tuple[float, list[tuple[str, str]]]:
     return best[n][0], spans[::-1]
 
 
+def _trimmed(s: str) -> str:
+    """s without closing punctuation at its end; a bracket that closes one of s stays."""
+    while s and (s[-1] in "\"',;.:" or s[-1] in _OPENING and s.count(s[-1]) > s.count(_OPENING[s[-1]])):
+        s = s[:-1]
+    return s
+
+
+def values(text: str) -> Iterator[tuple[str, str, bool]]:
+    """(context, value, whether prose is as likely) of every value in a credential's place."""
+    for m in CONTEXT.finditer(text):
+        scheme, given, bearer, carried, name, by, double, single, bare = m.groups()
+        quoted = double or single
+        value = quoted or _trimmed(given or carried or bare)
+        if len(value) >= 4:
+            loose = not quoted and (bearer or by and by[0] in "iI") and value.rstrip("!?").replace("'", "").isalpha()
+            yield (scheme or bearer or name).lower(), value, bool(loose)
+
+
 def scan(docs: DataFrame, words: list[str] | None = None, strong: float = STRONG) -> DataFrame:
     """(doc_id, match, context, value, guesses_log10, spans, secret) of every value in a credential's place."""
     ranks = Ranks(WORDS if words is None else words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            known = {v: cheapest(v, ranks) for v in b["value"].unique()}
-            b["guesses_log10"] = [known[v][0] for v in b["value"]]
-            b["spans"] = [[f"{k}:{t}" for k, t in known[v][1]] for v in b["value"]]
-            b["secret"] = b["guesses_log10"] >= strong
-            yield b
-
-    pattern = F.lit(CONTEXT)
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col("text").cast("string"), pattern, F.lit(0))).alias("match", "hit"))
-    part = [F.regexp_extract("hit", CONTEXT, g) for g in range(1, 5)]
-    found = found.select("doc_id", "match", F.lower(part[0]).alias("context"), F.concat(*part[1:]).alias("value"))
-    return found.mapInPandas(run, "doc_id bigint, match int, context string, value string, guesses_log10 double, spans array<string>, secret boolean")
+            known: dict[str, tuple] = {}
+            rows = []
+            for doc_id, text in zip(b["doc_id"], b["text"]):
+                match = 0
+                for context, value, loose in values(text):
+                    if value not in known:
+                        known[value] = cheapest(value, ranks)
+                    cost, spans = known[value]
+                    if loose and cost < strong:
+                        continue
+                    rows.append((None if doc_id is None else int(doc_id), match, context, value, cost, [f"{k}:{t}" for k, t in spans], cost >= strong))
+                    match += 1
+            out = pd.DataFrame(rows, columns=["doc_id", "match", "context", "value", "guesses_log10", "spans", "secret"], dtype=object)
+            yield out.astype({"doc_id": "Int64", "match": "int32", "guesses_log10": float, "secret": bool})
+
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(MAY_HOLD))
+    # ids travel as text: a batch with a null id would make the others floats
+    return found.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id bigint, match int, context string, value string, guesses_log10 double, spans array<string>, secret boolean")
