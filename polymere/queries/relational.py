@@ -121,6 +121,13 @@ def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.theta_join(table(spark, sf_dir, "part").filter("p_size = 50"), table(spark, sf_dir, "supplier"), F.expr("p_partkey % 10 > s_suppkey % 10 + 7")).select("p_partkey", "p_size", "s_suppkey")
 
 
+@book.add("SELECT s_suppkey, count(*) AS n, sum(p_size)::BIGINT AS sizes, min(p_partkey) AS first_part FROM part JOIN supplier ON p_retailprice < s_acctbal GROUP BY 1")
+def join_theta_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's parts that its balance can buy, over the whole tables."""
+    joined = R.theta_join(table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier"), F.expr("p_retailprice < s_acctbal"))
+    return joined.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("p_size").alias("sizes"), F.min("p_partkey").alias("first_part"))
+
+
 def _hinted(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined = R.equi_join(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey", method=method)
