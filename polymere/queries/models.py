@@ -208,6 +208,14 @@ def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.bfs(both, "r0", 3)
 
 
+@book.add(f"WITH RECURSIVE {_EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION ALL SELECT dst, src FROM e), w(id, depth) AS (SELECT 'r0', 0 UNION SELECT y, depth + 1 FROM w JOIN b ON id = x WHERE depth < 3) SELECT min(depth) AS depth, id FROM w GROUP BY id")
+def graph_bfs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search over all edges, 'placed' too."""
+    e = _edges(spark, sf_dir)
+    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return G.bfs(both, "r0", 3)
+
+
 @book.add(f"WITH {_EDGES} SELECT DISTINCT 'Customer' AS kind, a.src AS customer, r_name AS region, 2 AS hops FROM e a JOIN e b ON a.dst = b.src JOIN region ON b.dst = 'r' || r_regionkey WHERE a.src LIKE 'c%'")
 def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir).register_graph("world", _nodes(spark, sf_dir), _edges(spark, sf_dir))
