@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, text_slices
+from .common import text_slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 TRAIN_DOCS = 600
+#: Documents sampled of a language at least, if it has them.
+LANGUAGE_DOCS = 20
 _WIDEST = max(WIDTHS)
 
 
@@ -175,9 +177,22 @@ def classify(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return p, n
 
 
+def sample(known: DataFrame, train_docs: int) -> DataFrame:
+    """About train_docs rows, all if there are no more, but of each language LANGUAGE_DOCS at least or all that it has."""
+    counts = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().collect()]
+    n = sum(c for _, c in counts)
+    if n <= train_docs:
+        return known
+    share = [(lang, max(train_docs / n, LANGUAGE_DOCS / c)) for lang, c in counts]
+    bounds = [(lang, int(f * 2**63) * 2 - 2**63 if f < 1 else 2**63 - 1) for lang, f in share]
+    of = known.sparkSession.createDataFrame(bounds, "lang string, bound bigint")
+    drawn = F.xxhash64(F.lit(17), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    return known.join(F.broadcast(of), "lang").filter(drawn <= F.col("bound")).select(*known.columns)
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network:
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text <> ''")
-    rows = hashed_sample(known, train_docs, "doc_id").collect()
+    rows = sample(known, train_docs).collect()
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
     return fit([r[1] for r in rows], [r[2] for r in rows])
 

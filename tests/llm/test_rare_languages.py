@@ -1,0 +1,16 @@
+"""Every declared language is a class, however rare."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+from polymere.llm import byte_cnn
+
+
+def test_sample_holds_each_language(spark):
+    rows = [(None if i % 50 == 0 else i, f"text {i}", "rare" if i % 2000 == 7 else "few" if i % 100 == 3 else "en") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = Counter(r.lang for r in byte_cnn.sample(df, 60).collect())
+    assert got["rare"] == 10 and 8 <= got["few"] <= 40 and 30 <= got["en"] <= 100
+    assert byte_cnn.train(df, 60).languages == ["en", "few", "rare"]
+    assert byte_cnn.sample(df.limit(50), 60).count() == 50
