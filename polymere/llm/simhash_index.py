@@ -1,35 +1,41 @@
 """SimHash near-duplicates through an inverted index of byte positions, with count filtering.
 
 A text's fingerprint has 128 bits, 16 bytes. Its features are the distinct words
-of the lowered text. Two fingerprints that differ in d bits differ in at most d
-bytes, hence share at least 16 - d bytes at their positions. A list of one byte
-at one position would hold 1/256 of the corpus, and its pairs would grow with
-the square of the corpus. The entries of the index are therefore triples of
-positional bytes: the positions form two groups of eight, and of five shared
-bytes (11 bits) at least three lie in one group, so that every pair of at most
-`GUARANTEED` = 11 bits shares at least one of the 2 * C(8, 3) = 112 triples.
-Shared positional bytes are then tallied for each pair that shares an entry,
-pairs with fewer than `minimum` go, and the rest are verified by their Hamming
-distance, of at most `distance` bits. Up to GUARANTEED bits this index misses no
-pair; `distance` bits can touch every byte, so that beyond, it alone would.
-
-Masks make the guarantee meet the distance. The bits form three blocks, of which
-one holds at most 7, 6 or 6 of 21 differing bits (8 + 7 + 7 > 21). In a block
-that may differ in t bits each bit has a vector of t + 1 bits, and each of the
-2^(t + 1) - 1 vectors but 0 is a mask of the bits whose vectors have an odd
-product with it. The vectors of t bits have a common orthogonal one, and its mask
-holds none of these bits: every pair within `distance` is equal under at least
-one of the 509 masks (for 21), each of about 21 bits. Pairs equal under a mask
-are verified by their distance alone. Nothing is sent for each mask: a task holds
-the fingerprints of two chunks and sorts them by each mask of its group in turn.
-Tests hold recall at every distance, and groups, against brute force.
+of the lowered text. Two fingerprints within `distance` bits share positional
+bytes: a byte that differs in e bits counts t + 1 - e, or nothing below 0, where
+t = distance // 16 is the tolerance, and the counts of all 16 positions add up
+to 16 * (t + 1) - distance at least, as each differing bit takes one away. For 21
+bits that is a tally of 11, where an equal byte counts two and one that is one
+bit off counts one. Pairs of an entry of the index are tallied, pairs below this
+guaranteed minimum go, and the rest are verified by their Hamming distance. Of
+pairs that meet by chance in an entry nearly all fail the tally.
+
+A list of one byte at one position would hold 1/256 of the corpus, and its pairs
+would grow with the square of the corpus. Entries are therefore combinations.
+Triples of positional bytes, within each half of the positions, hold every pair
+that shares five bytes (11 bits). Masks hold all that are further apart: the bits
+form three blocks, of which one has at most 7, 6 or 6 of 21 differing bits
+(8 + 7 + 7 > 21). In a block that may differ in t bits each bit has a vector of
+t + 1 bits, and each of the 2^(t + 1) - 1 vectors but 0 is a mask of the bits whose
+vectors have an odd product with it. The vectors of t bits have a common
+orthogonal one, and its mask holds none of these bits: every pair within
+`distance` is equal under at least one of the 509 masks (for 21), each of about
+21 bits. So no pair within `distance` is missed; tests hold that against brute
+force over all pairs, and against SQL over the fingerprints.
+
+The index isn't sent anywhere. Distinct fingerprints are dealt to chunks, each
+task holds two chunks and a share of the entries, and sorts its fingerprints by
+one entry at a time. What a task holds is bounded whatever the skew: a group of
+near copies, however large, is cut by the chunks as all else is, and exact copies
+are one fingerprint.
 
 Duplicate pairs form groups (connected components); of each the document with
 the least doc_id stays.
 
 Defined results: rows with null doc_id or null text are in no group. A text
 without words has itself as its only feature, so that empty texts are copies of
-one another. Rows of one doc_id are one document. Other columns aren't touched.
+one another. Rows of one doc_id are one document, whatever their texts. Other
+columns aren't touched.
 """
 
 from __future__ import annotations
@@ -41,28 +47,25 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, persist_table, text_slices
 from .words import find_words, mix
 
 BYTES = 16
-GUARANTEED = 11
 DISTANCE = 21
-MINIMUM = 3
 #: Distinct fingerprints of a chunk; a task holds two chunks, of 24 bytes a fingerprint.
 CHUNK = 2_000_000
-#: Tasks that share the masks of a pair of chunks.
+#: Tasks that share the entries of a pair of chunks.
 GROUPS = 12
 #: First bit of each block of hi and lo, and of the end.
 _BLOCKS = (0, 43, 86, 128)
 #: Ids of this many duplicates are sent to every executor (16 bytes each); more are joined by an exchange.
 HELD_IDS = 2_000_000
+#: This many edges (16 bytes each) are connected by the driver; more by rounds of joins, with equal result.
+HELD_EDGES = 2_000_000
 TRIPLES = [t for base in (0, 8) for t in combinations(range(base, base + 8), 3)]
-#: The other 13 positions of each triple.
-_REST = np.array([[p for p in range(BYTES) if p not in t] for t in TRIPLES])
-_OF_TRIPLE = np.array(TRIPLES)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int32)
 
 
@@ -100,38 +103,26 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], ["doc_id", "hi", "lo"])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What an entry says of a fingerprint isn't sent again: hi and lo hold its other 13 bytes, then zeros, which compress."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            b = batch.slice(at, 2000)
-            node, hi, lo = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "hi", "lo"))
-            flat = np.stack([hi, lo], axis=1).view(np.uint8).reshape(len(node), BYTES).astype(np.int64)
-            keys = np.stack([(k << 24) | (flat[:, x] << 16) | (flat[:, y] << 8) | flat[:, z] for k, (x, y, z) in enumerate(TRIPLES)], axis=1)
-            rest = np.zeros((keys.size, BYTES), np.uint8)
-            rest[:, : _REST.shape[1]] = flat.astype(np.uint8)[:, _REST].reshape(keys.size, -1)
-            rest = rest.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int32)), pa.array(np.repeat(node, len(TRIPLES))), pa.array(rest[:, 0].copy()), pa.array(rest[:, 1].copy())], ["entry", "node", "hi", "lo"])
+def guaranteed(distance: int) -> int:
+    """The least tally of two fingerprints within `distance` bits."""
+    return BYTES * (distance // BYTES + 1) - distance
 
 
-def whole(entry: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """hi and lo of the fingerprints again, from entries."""
-    rest = np.ascontiguousarray(np.stack([hi, lo], axis=1)).view(np.uint8)
-    out, row, k = np.empty((len(entry), BYTES), np.uint8), np.arange(len(entry))[:, None], entry >> 24
-    out[row, _REST[k]] = rest[:, : _REST.shape[1]]
-    out[row, _OF_TRIPLE[k]] = np.stack([entry >> 16, entry >> 8, entry], axis=1) & 255
-    out = out.view(np.int64)
-    return out[:, 0].copy(), out[:, 1].copy()
+def tally(x: np.ndarray, tolerance: int) -> np.ndarray:
+    """Shared positional bytes of pairs, from the exclusive or of their fingerprints, (n, 2) words."""
+    points = np.maximum(tolerance + 1 - np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int16), 0).astype(np.uint8)
+    return points[np.ascontiguousarray(x).view(np.uint8).reshape(len(x), BYTES)].sum(axis=1)
 
 
-def near(hi: np.ndarray, lo: np.ndarray, hi2: np.ndarray, lo2: np.ndarray, minimum: int, distance: int) -> np.ndarray:
+def near(hi: np.ndarray, lo: np.ndarray, hi2: np.ndarray, lo2: np.ndarray, distance: int) -> np.ndarray:
     """Count filter, then verification, of pairs of fingerprints."""
     x = np.stack(np.broadcast_arrays(hi ^ hi2, lo ^ lo2), axis=-1)
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), BYTES) == 0).sum(axis=1)
-    return (shared >= minimum) & (np.bitwise_count(x.view(np.uint64)).sum(axis=1) <= distance)
+    ok = tally(x, distance // BYTES) >= guaranteed(distance)
+    ok[ok] = np.bitwise_count(x[ok].view(np.uint64)).sum(axis=1) <= distance
+    return ok
 
 
-def links(entry: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, minimum: int, distance: int, short: int = 16) -> np.ndarray:
+def links(entry: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, distance: int, short: int = 16) -> np.ndarray:
     """Pairs (n, 2) of nodes which connect whatever near pairs within lists of equal entry connect.
 
     Short lists give all near pairs. A long one gives a spanning forest of its
@@ -151,7 +142,7 @@ def links(entry: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, m
         i = at[at + lag < ends]
         if not len(i):
             break
-        ok = i[near(hi[i], lo[i], hi[i + lag], lo[i + lag], minimum, distance)]
+        ok = i[near(hi[i], lo[i], hi[i + lag], lo[i + lag], distance)]
         found.append(np.stack([node[ok], node[ok + lag]], axis=1))
     for start, n in zip(edge[length > short], length[length > short]):
         left = np.arange(start, start + n)
@@ -162,7 +153,7 @@ def links(entry: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, m
                 left = left[1:]
             i = queue.pop()
             if len(left):
-                ok = near(hi[i], lo[i], hi[left], lo[left], minimum, distance)
+                ok = near(hi[i], lo[i], hi[left], lo[left], distance)
                 hit, left = left[ok], left[~ok]
                 found.append(np.stack([np.full(len(hit), node[i]), node[hit]], axis=1))
                 queue.extend(hit.tolist())
@@ -172,24 +163,6 @@ def links(entry: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, m
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def _find(minimum: int, distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = [b for b in batches if b.num_rows]
-        if all_:
-            t = pa.Table.from_batches(all_)
-            entry, node, hi, lo = (t.column(c).to_numpy() for c in ("entry", "node", "hi", "lo"))
-            # entries of one fingerprint have no pair, and needn't be made whole
-            order = np.argsort(entry, kind="stable")
-            ranked = entry[order]
-            same = ranked[1:] == ranked[:-1]
-            some = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            entry, node = entry[some], node[some]
-            p = links(entry, node, *whole(entry, hi[some], lo[some]), minimum, distance)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
-
-    return run
-
-
 @lru_cache
 def masks(distance: int) -> list[tuple[int, int]]:
     """(block, mask of its bits): fingerprints within `distance` are equal under at least one."""
@@ -234,15 +207,22 @@ def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = root[label]
 
 
-def masked_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, group: int, groups: int, distance: int) -> np.ndarray:
-    """Near pairs (n, 2) of nodes which connect whatever near pairs that are equal under a mask of the group connect."""
+@lru_cache
+def entries(distance: int) -> list[tuple[int, int]]:
+    """(block, mask of its bits): triples of positional bytes, of hi (3) or lo (4), then masks."""
+    triples = [(3 + t[0] // 8, sum(255 << 8 * (p % 8) for p in t)) for t in TRIPLES]
+    return triples + masks(distance)
+
+
+def entry_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, group: int, groups: int, distance: int) -> np.ndarray:
+    """Near pairs (n, 2) of nodes which connect whatever near pairs that share an entry of the group connect."""
     n = len(node)
     low = np.uint64(max(1, n.bit_length()))
     label, found, held = np.arange(n), [np.zeros((0, 2), np.int64)], None
-    for block, mask in masks(distance)[group::groups]:
+    for block, mask in entries(distance)[group::groups]:
         if held is None or held[0] != block:
-            held = block, _block(hi, lo, block)
-        # a hash of the masked bits above, the row below: what has equal hashes by chance is verified as all is
+            held = block, _block(hi, lo, block) if block < 3 else (hi, lo)[block - 3].view(np.uint64)
+        # a hash of the entry above, the row below: what has equal hashes by chance is tallied as all is
         ranked = np.sort(mix(held[1] & np.uint64(mask)) >> low << low | np.arange(n, dtype=np.uint64))
         row, key = (ranked & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), ranked >> low
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -253,7 +233,7 @@ def masked_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, group: int, g
         length = np.diff(np.append(start, n))
         some = np.repeat(open_, length)
         row, entry = row[some], np.repeat(np.arange(len(start)), length)[some]
-        p = links(entry, row, hi[row], lo[row], 0, distance)
+        p = links(entry, row, hi[row], lo[row], distance)
         p = p[label[p[:, 0]] != label[p[:, 1]]]
         if len(p):
             label = _merged(label, p[:, 0], p[:, 1])
@@ -261,40 +241,60 @@ def masked_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, group: int, g
     return np.concatenate(found)
 
 
-def masked_pairs(nodes: DataFrame, distance: int) -> DataFrame:
-    """(a, b): near pairs which connect whatever nodes within `distance` connect."""
-    chunks = -(-nodes.count() // CHUNK)
+def indexed_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): near pairs which connect whatever nodes (node, hi, lo) within `distance` connect."""
+    chunks = max(1, -(-nodes.count() // CHUNK))
     of = list(combinations(range(chunks), 2)) or [(0, 0)]
-    tasks = [[t * GROUPS + g for t, pair in enumerate(of) if c in pair for g in range(GROUPS)] for c in range(max(1, chunks))]
-    chunk = F.pmod(F.xxhash64("node"), F.lit(len(tasks))).cast("int")
-    sent = nodes.withColumn("task", F.explode(F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in tasks]), chunk + 1)))
+    tasks = [[t * GROUPS + g for t, pair in enumerate(of) if c in pair for g in range(GROUPS)] for c in range(chunks)]
+    chunk = F.pmod(F.xxhash64("hi", "lo"), F.lit(chunks)).cast("int")
+    sent = nodes.select("node", "hi", "lo", F.explode(F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in tasks]), chunk + 1)).alias("task"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            node, hi, lo = (t.column(c).to_numpy() for c in ("node", "hi", "lo"))
+            p = entry_links(node, hi, lo, held[0].column("task")[0].as_py() % GROUPS, GROUPS, distance)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+
+    return sent.repartitionById(GROUPS * len(of), "task").mapInArrow(run, "a bigint, b bigint")
 
-    def run(t: pa.Table) -> pa.Table:
-        node, hi, lo = (t.column(c).to_numpy() for c in ("node", "hi", "lo"))
-        p = masked_links(node, hi, lo, t.column("task")[0].as_py() % GROUPS, GROUPS, distance)
-        return pa.table({"a": p[:, 0].copy(), "b": p[:, 1].copy()})
 
-    return sent.groupBy("task").applyInArrow(run, "a bigint, b bigint")
+def connected(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (n, 2), and the least node of each one's component."""
+    names, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(-1, 2)
+    return names, names[_merged(np.arange(len(names)), at[:, 0], at[:, 1])]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, held: int = HELD_EDGES) -> DataFrame:
     """(node, root) for each node of edges (a, b) whose component has a lesser node, its root.
 
-    Alternating large-star and small-star steps; the number of rounds grows
-    with the logarithm of the component size.
+    Up to `held` edges are connected at once. More are by alternating large-star
+    and small-star steps, whose rounds grow with the logarithm of the component
+    size; least neighbours are aggregated before they are exchanged and then
+    joined, so that a node of very many edges is no single task's.
     """
     spark = edges.sparkSession
     now, path = persist_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    if now.count() <= held:
+        t = now.toArrow()
+        node, root = connected(np.stack([t.column(c).to_numpy() for c in "ab"], axis=1).astype(np.int64))
+        some = node != root
+        drop_table(spark, path)
+        return spark.createDataFrame(pa.table({"node": node[some], "root": root[some]}), "node bigint, root bigint")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(pmod(xxhash64(b, a), 1000003))")).first())
 
+    def with_least(df: DataFrame) -> DataFrame:
+        return df.join(df.groupBy("a").agg(F.min("b").alias("m")), "a")
+
     before = state(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least(F.min("b").over(Window.partitionBy("a")), "a")
-        large = both.withColumn("m", low).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        oriented = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        large = with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b").distinct()
+        oriented = with_least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         small = oriented.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         after_df, after_path = persist_table(small, "edges")
         after = state(after_df)
@@ -306,29 +306,39 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, minimum: int = MINIMUM, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, kept_id, group_size) of each document that has a near-duplicate with a lesser doc_id."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    prints = rows.mapInArrow(_fingerprint, "doc_id bigint, hi bigint, lo bigint")
-    prints, _ = persist_table(prints.withColumn("node", F.min("doc_id").over(Window.partitionBy("hi", "lo"))), "prints")
-    nodes = prints.filter("doc_id = node").select("node", "hi", "lo").distinct()
-    entries = nodes.mapInArrow(_entries, "entry int, node bigint, hi bigint, lo bigint")
-    pairs = entries.repartition("entry").mapInArrow(_find(minimum, distance), "a bigint, b bigint")
-    pairs = pairs.unionByName(masked_pairs(nodes, distance))
-    # a doc_id that was read with several texts is one node, so its fingerprints' nodes belong together
-    again = prints.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    roots = components(pairs.unionByName(again))
-    ids = prints.select("doc_id").distinct()
-    kept = ids.join(roots, ids.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("kept_id"))
-    return kept.withColumn("group_size", F.count("*").over(Window.partitionBy("kept_id"))).filter("doc_id <> kept_id")
-
-
-def deduplicate(docs: DataFrame, minimum: int = MINIMUM, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, kept_id, group_size) of each document that has a near-duplicate with a lesser doc_id.
+
+    Copies are counted, not listed: fingerprints are aggregated before they are
+    exchanged, and what is found of them is joined to the documents.
+    """
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    prints, _ = persist_table(rows.mapInArrow(_fingerprint, "doc_id bigint, hi bigint, lo bigint"), "prints")
+    both = prints.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("f"), F.max(F.struct("hi", "lo")).alias("g"))
+    ids, _ = persist_table(both.select("doc_id", F.col("f.hi").alias("hi"), F.col("f.lo").alias("lo"), (F.col("f") != F.col("g")).alias("more")), "ids")
+    one, again = ids.select("doc_id", "hi", "lo", F.lit(1).cast("bigint").alias("n")), None
+    if not ids.filter("more").isEmpty():
+        # a doc_id that was read with several texts is one document, so its fingerprints' nodes belong together
+        first = ids.filter("more").select("doc_id", F.col("hi").alias("hi1"), F.col("lo").alias("lo1"))
+        again, _ = persist_table(prints.join(first, "doc_id").filter("hi <> hi1 or lo <> lo1").distinct(), "again")
+        one = one.unionByName(again.select("doc_id", "hi", "lo", F.lit(0).cast("bigint").alias("n")))
+    nodes, _ = persist_table(one.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.sum("n").alias("n")), "nodes")
+    pairs = indexed_pairs(nodes, distance)
+    if again is not None:
+        a, b = (nodes.select(F.col("hi").alias(f"hi{k}"), F.col("lo").alias(f"lo{k}"), F.col("node").alias(x)) for k, x in ((1, "a"), (2, "b")))
+        pairs = pairs.unionByName(again.withColumnsRenamed({"hi": "hi2", "lo": "lo2"}).join(a, ["hi1", "lo1"]).join(b, ["hi2", "lo2"]).select("a", "b"))
+    of = nodes.join(components(pairs), "node", "left").select("hi", "lo", "n", F.coalesce("root", "node").alias("kept_id"))
+    groups, _ = persist_table(of.groupBy("kept_id").agg(F.sum("n").alias("group_size")).filter("group_size > 1"), "groups")
+    return ids.join(of.join(groups, "kept_id"), ["hi", "lo"]).filter("doc_id <> kept_id").select("doc_id", "kept_id", "group_size")
+
+
+def deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs without near-duplicates: the least doc_id of each group stays, once; rows of null doc_id or text stay."""
-    gone, _ = persist_table(near_duplicates(docs, minimum, distance).select(F.col("doc_id").alias("__gone")), "gone")
+    gone, _ = persist_table(near_duplicates(docs, distance).select(F.col("doc_id").alias("__gone")), "gone")
     if gone.count() <= HELD_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    ident = docs["doc_id"].try_cast("bigint")
+    left = docs.join(gone, ident == gone["__gone"], "left_anti")
     repeated = docs.filter("doc_id is not null and text is not null").groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again")
     repeated, path = persist_table(repeated, "repeated")
     if repeated.isEmpty():

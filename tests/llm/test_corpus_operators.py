@@ -84,22 +84,29 @@ def test_fingerprint_against_plain_sum():
     assert len({bytes(x) for x in got[1:]}) == 4
 
 
-def test_every_pair_within_the_guarantee_shares_an_entry():
-    rng = np.random.default_rng(6)
-    for _ in range(300):
-        touched = rng.choice(16, simhash_index.GUARANTEED, replace=False)
-        same = set(range(16)) - set(touched.tolist())
-        assert any(same >= set(t) for t in simhash_index.TRIPLES)
+@pytest.mark.parametrize("distance", [0, 3, 11, 15, 16, 21, 40])
+def test_tally_of_pairs_within_the_distance_reaches_the_minimum(distance):
+    rng = np.random.default_rng(distance)
+    x = np.zeros((2000, 128), np.uint8)
+    for row in x:
+        row[rng.choice(128, rng.integers(0, distance + 1), replace=False)] = 1
+    got = simhash_index.tally(np.packbits(x, axis=1).view(np.int64), distance // 16)
+    # by bytes, one at a time
+    want = [sum(max(0, distance // 16 + 1 - int(row[8 * k : 8 * k + 8].sum())) for k in range(16)) for row in x]
+    assert got.tolist() == want and min(want) >= simhash_index.guaranteed(distance) > 0
+
+
+def test_the_filter_rejects_what_meets_by_chance():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 256, (2, 20_000, 16), dtype=np.uint8)
+    b[:, [1, 4, 6]] = a[:, [1, 4, 6]]  # an entry in common
+    counts = simhash_index.tally((a ^ b).view(np.int64), 1)
+    assert counts.min() >= 6 and (counts >= simhash_index.guaranteed(21)).mean() < 0.001
 
 
 def test_groups_against_brute_force(spark):
     texts = corpus()
-    prints = simhash_index.fingerprints_of(pa.array(texts))
-    pairs = near_by_brute_force(prints, simhash_index.DISTANCE)
-    shared = {(i, j): (prints[i] == prints[j]) for i, j in pairs}
-    found = {p for p, s in shared.items() if max(s[:8].sum(), s[8:].sum()) >= 3}
-    assert len(found) >= 0.9 * len(pairs)
-    want = {a: r for a, r in groups_of(found).items() if a != r}
+    want = {a: r for a, r in groups_of(near_by_brute_force(simhash_index.fingerprints_of(pa.array(texts)), simhash_index.DISTANCE)).items() if a != r}
     got = {r.doc_id: (r.kept_id, r.group_size) for r in simhash_index.near_duplicates(with_clashes(table_of(spark, texts))).collect()}
     assert {a: k for a, (k, _) in got.items()} == want
     sizes = Counter(want.values())
@@ -109,22 +116,30 @@ def test_groups_against_brute_force(spark):
     assert set(got) <= planted and len(got) >= 0.97 * len(planted)
 
 
+def test_a_document_of_several_texts_is_one(spark):
+    x, y, z = prose(90, 71), prose(90, 72), prose(90, 73)
+    rows = [(1, x), (2, x), (2, y), (2, y), (3, y), (4, z), (5, z), (5, z), (6, prose(90, 74)), (6, prose(90, 75))]
+    got = simhash_index.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect())) == [(2, 1, 3), (3, 1, 3), (5, 4, 2)]
+
+
 def test_links_of_long_lists_connect_the_same():
     rng = np.random.default_rng(8)
     center = rng.integers(-(2**62), 2**62, (3, 2))
     rows = np.repeat(center, 30, axis=0) ^ (np.int64(1) << rng.integers(0, 60, (90, 2)))
     entry, node = np.full(90, 5, np.int32), rng.permutation(90).astype(np.int64)
-    short = simhash_index.links(entry, node, rows[:, 0], rows[:, 1], 3, 21, short=100)
-    forest = simhash_index.links(entry, node, rows[:, 0], rows[:, 1], 3, 21)
+    short = simhash_index.links(entry, node, rows[:, 0], rows[:, 1], 21, short=100)
+    forest = simhash_index.links(entry, node, rows[:, 0], rows[:, 1], 21)
     assert groups_of(short.tolist()) == groups_of(forest.tolist())
     assert len(forest) < len(short)
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("held", [-1, simhash_index.HELD_EDGES])
+def test_components_of_a_chain_and_a_star(spark, held):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.node: r.root for r in simhash_index.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.root for r in simhash_index.components(spark.createDataFrame(edges, "a bigint, b bigint"), held).collect()}
     assert got == {a: r for a, r in groups_of(edges).items() if a != r}
-    assert simhash_index.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert simhash_index.components(spark.createDataFrame([], "a bigint, b bigint"), held).count() == 0
 
 
 def test_dedup_on_awkward_rows(spark):

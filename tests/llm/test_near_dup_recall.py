@@ -38,10 +38,10 @@ def test_every_pair_within_the_distance_is_equal_under_a_mask(distance):
     assert same.all()
 
 
-def test_recall_at_each_distance(spark):
+def test_recall_at_each_distance():
     for distance in (12, 15, 16, 19, 20, 21, 22):
         a, b = flipped(np.random.default_rng(distance), distance, 100)
-        p = [simhash_index.masked_links(np.arange(200), *np.concatenate([a, b]).T.copy(), g, 4, 21) for g in range(4)]
+        p = [simhash_index.entry_links(np.arange(200), *np.concatenate([a, b]).T.copy(), g, 4, 21) for g in range(4)]
         assert set(map(tuple, np.sort(np.concatenate(p), axis=1).tolist())) == ({(i, 100 + i) for i in range(100)} if distance <= 21 else set())
 
 

@@ -1,12 +1,14 @@
-"""Queries of the subpackage that have SQL against it, and entries against the fingerprints they are of."""
+"""Queries of the subpackage that have SQL against it, and near-duplicates against SQL over their fingerprints."""
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from polymere.llm import queries, simhash_index
+from polymere.llm.common import table
 
 from ..oracle import connection, differs
 from .data import SAMPLE
@@ -17,11 +19,18 @@ def test_rows_equal_those_of_sql(spark, name):
     assert differs(queries.QUERIES[name](spark, SAMPLE), queries.ORACLE_SQL[name], connection(SAMPLE)) == ""
 
 
-def test_entries_hold_whole_fingerprints():
-    rng = np.random.default_rng(2)
-    hi, lo = rng.integers(-(2**63), 2**63 - 1, (2, 50))
-    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(50)), pa.array(hi), pa.array(lo)], ["node", "hi", "lo"])
-    out = next(simhash_index._entries(iter([batch])))
-    entry, node, a, b = (out.column(c).to_numpy() for c in ("entry", "node", "hi", "lo"))
-    x, y = simhash_index.whole(entry, a, b)
-    assert len(entry) == 50 * 112 and (x == hi[node]).all() and (y == lo[node]).all()
+def test_near_duplicates_against_sql_over_the_fingerprints(spark):
+    """SQL takes all pairs of distinct fingerprints within the distance, and walks them."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    t = docs.select("doc_id", "text").toArrow()
+    words = simhash_index.fingerprints_of(t.column("text").combine_chunks()).view(np.int64)
+    prints = pa.table({"doc_id": t.column("doc_id"), "hi": words[:, 0].copy(), "lo": words[:, 1].copy()})  # noqa: F841
+    sql = f"""
+    WITH RECURSIVE n AS (SELECT hi, lo, min(doc_id) AS node FROM prints GROUP BY ALL),
+    e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {simhash_index.DISTANCE}),
+    w AS (SELECT node AS a, node AS b FROM n UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a),
+    r AS (SELECT a AS node, min(b) AS kept_id FROM w GROUP BY a),
+    d AS (SELECT doc_id, kept_id, count(*) OVER (PARTITION BY kept_id) AS group_size FROM prints JOIN n USING (hi, lo) JOIN r USING (node))
+    SELECT doc_id, kept_id, group_size FROM d WHERE doc_id <> kept_id"""
+    want = sorted(duckdb.sql(sql).fetchall())
+    assert len(want) > 50 and sorted(map(tuple, simhash_index.near_duplicates(docs).collect())) == want
