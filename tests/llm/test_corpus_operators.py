@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -265,14 +267,46 @@ def test_matrix_rows_agree_and_are_hypergeometric():
     assert cells[:, 2, 0].var() == pytest.approx(n * k / total * (1 - k / total) * (total - n) / (total - 1), rel=0.12)
 
 
+def test_draws_against_exact_probabilities():
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((7, 13, 8), (1, 40, 3), (300, 20, 19), (60, 90, 75)):
+        total = math.comb(good + bad, n)
+        exact = {x: math.comb(good, x) * math.comb(bad, n - x) / total for x in range(max(0, n - bad), min(n, good) + 1)}
+        assert all(math.exp(shard.log_probability(x, good, bad, n)) == pytest.approx(p, rel=1e-10) for x, p in exact.items())
+        seen = Counter(shard.draw(rng, good, bad, n) for _ in range(8000))
+        often = {x: p for x, p in exact.items() if p * 8000 >= 5}
+        chi = sum((seen[x] - 8000 * p) ** 2 / (8000 * p) for x, p in often.items())
+        assert set(seen) <= set(exact) and chi < len(often) + 5 * math.sqrt(2 * len(often)) + 5
+    # the same by multivariate sampling
+    sizes = np.array([3, 0, 9, 4, 14])
+    a = np.array([shard.split(rng, sizes, 11) for _ in range(6000)])
+    b = rng.multivariate_hypergeometric(sizes, 11, 6000)
+    assert (a.sum(axis=1) == 11).all() and (a <= sizes).all()
+    for j in range(5):
+        both = [np.bincount(m[:, j], minlength=15) for m in (a, b)]
+        assert ((both[0] - both[1]) ** 2 / np.maximum(both[0] + both[1], 1)).sum() < 45
+
+
 def test_large_draws_have_the_right_moments():
     rng = np.random.default_rng(4)
-    good, bad, n = 3_000_000_000, 7_000_000_000, 10_000
-    x = np.array([shard.draw(rng, good, bad, n) for _ in range(400)])
-    assert x.mean() == pytest.approx(3000, abs=12) and x.std() == pytest.approx(45.8, rel=0.15)
+    for good, bad, n in ((3_000_000_000, 7_000_000_000, 10_000), (10**11, 10**11, 10**11), (5, 10**12, 10**11)):
+        x = np.array([shard.draw(rng, good, bad, n) for _ in range(2000)])
+        mean, total = n * good / (good + bad), good + bad
+        sd = math.sqrt(mean * (bad / total) * (total - n) / (total - 1))
+        assert x.mean() == pytest.approx(mean, abs=5 * sd / 2000**0.5) and x.std() == pytest.approx(sd, rel=0.1)
     assert shard.draw(rng, 2_000_000_000, 0, 5) == 5 and shard.draw(rng, 0, 2_000_000_000, 5) == 0
 
 
+def test_a_row_of_a_large_matrix_is_quick():
+    """10^11 rows in 100,000 partitions for 763,000 receivers."""
+    parts, takes = np.full(100_000, 10**6), np.full(762_940, 131_072)
+    takes[-1] -= int(takes.sum()) - 10**11
+    began = time.process_time()
+    row = shard.matrix_row(77_777, parts, takes, 29)
+    assert row.sum() == 10**6 and time.process_time() - began < 20
+    assert row.std() == pytest.approx(1.31**0.5, rel=0.05)
+
+
 def test_shards_are_exact_and_uniform(spark, tmp_path):
     spark.range(4000).selectExpr("id as doc_id", "concat('t', id) as text").repartition(5).write.parquet(str(tmp_path / "d"))
     df = spark.read.parquet(str(tmp_path / "d"))
