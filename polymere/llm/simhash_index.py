@@ -108,29 +108,40 @@ def guaranteed(distance: int) -> int:
     return BYTES * (distance // BYTES + 1) - distance
 
 
+@lru_cache
+def _points(tolerance: int) -> np.ndarray:
+    """What a byte counts, by its exclusive or."""
+    return np.maximum(tolerance + 1 - np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int16), 0).astype(np.uint8)
+
+
 def tally(x: np.ndarray, tolerance: int) -> np.ndarray:
     """Shared positional bytes of pairs, from the exclusive or of their fingerprints, (n, 2) words."""
-    points = np.maximum(tolerance + 1 - np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int16), 0).astype(np.uint8)
-    return points[np.ascontiguousarray(x).view(np.uint8).reshape(len(x), BYTES)].sum(axis=1)
+    return _points(tolerance)[np.ascontiguousarray(x).view(np.uint8).reshape(len(x), BYTES)].sum(axis=1, dtype=np.uint16)
 
 
 def near(hi: np.ndarray, lo: np.ndarray, hi2: np.ndarray, lo2: np.ndarray, distance: int) -> np.ndarray:
     """Count filter, then verification, of pairs of fingerprints."""
-    x = np.stack(np.broadcast_arrays(hi ^ hi2, lo ^ lo2), axis=-1)
+    shape = np.broadcast_shapes(hi.shape, hi2.shape)
+    x = np.empty((*shape, 2), np.int64)
+    np.bitwise_xor(hi, hi2, out=x[..., 0])
+    np.bitwise_xor(lo, lo2, out=x[..., 1])
+    x = x.reshape(-1, 2)
     ok = tally(x, distance // BYTES) >= guaranteed(distance)
     ok[ok] = np.bitwise_count(x[ok].view(np.uint64)).sum(axis=1) <= distance
-    return ok
+    return ok.reshape(shape)
 
 
-def links(entry: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, distance: int, short: int = 16) -> np.ndarray:
-    """Pairs (n, 2) of nodes which connect whatever near pairs within lists of equal entry connect.
+def links(entry: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, distance: int, short: int = 64, label: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (n, 2) of nodes which connect whatever near pairs within lists of equal entry connect; nodes of one label are connected already.
 
-    Short lists give all near pairs. A long one gives a spanning forest of its
-    near pairs: from each node reached, all nodes not yet reached are tried, so
-    that a list of n copies takes n steps and not n * n / 2 rows.
+    Short lists give all near pairs across labels. Of a long one the label of the
+    fewest nodes is tried against all others, and then is either done with or
+    joins what it is near to: a list of n copies takes a step or two, and not
+    n * n / 2 rows.
     """
     order = np.argsort(entry, kind="stable")
     entry, node, hi, lo = entry[order], node[order], hi[order], lo[order]
+    of = np.arange(len(entry)) if label is None else label[order]
     edge = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
     length = np.diff(np.append(edge, len(entry)))
     found: list[np.ndarray] = []
@@ -139,30 +150,49 @@ def links(entry: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, d
     ends = rows + np.repeat(length[some], length[some])
     at = rows + (np.arange(len(rows)) - np.repeat(np.concatenate([[0], np.cumsum(length[some])[:-1]]), length[some])) if len(rows) else rows
     for lag in range(1, short):
-        i = at[at + lag < ends]
-        if not len(i):
+        inside = at + lag < ends
+        if not inside.any():
             break
+        i = at[inside]
+        i = i[of[i] != of[i + lag]]
         ok = i[near(hi[i], lo[i], hi[i + lag], lo[i + lag], distance)]
         found.append(np.stack([node[ok], node[ok + lag]], axis=1))
     for start, n in zip(edge[length > short], length[length > short]):
-        left = np.arange(start, start + n)
-        queue: list[int] = []
-        while len(left):
-            if not queue:
-                queue.append(int(left[0]))
-                left = left[1:]
-            i = queue.pop()
-            if len(left):
-                ok = near(hi[i], lo[i], hi[left], lo[left], distance)
-                hit, left = left[ok], left[~ok]
-                found.append(np.stack([np.full(len(hit), node[i]), node[hit]], axis=1))
-                queue.extend(hit.tolist())
+        found += _long_links(node[start : start + n], hi[start : start + n], lo[start : start + n], of[start : start + n], distance)
     if not found:
         return np.zeros((0, 2), np.int64)
     pairs = np.sort(np.concatenate(found), axis=1)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
+def _long_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, label: np.ndarray, distance: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """links of one list."""
+    _, label = np.unique(label, return_inverse=True)
+    size = np.bincount(label)
+    left = np.arange(len(node))
+    while True:
+        alive = np.flatnonzero(size)
+        if len(alive) < 2:
+            return
+        least = alive[size[alive].argmin()]
+        mine, left = left[label[left] == least], left[label[left] != least]
+        step = max(1, most // len(left))
+        for k in range(0, len(mine), step):
+            i = mine[k : k + step]
+            x, y = np.nonzero(near(hi[i][:, None], lo[i][:, None], hi[left], lo[left], distance))
+            if len(x):
+                # one pair for each label that is near is enough
+                near_to, first = np.unique(label[left[y]], return_index=True)
+                yield np.stack([node[i[x[first]]], node[left[y[first]]]], axis=1)
+                size[near_to[0]] += size[near_to[1:]].sum() + len(mine)
+                size[near_to[1:]] = 0
+                label[left[np.isin(label[left], near_to)]] = near_to[0]
+                label[mine] = near_to[0]
+                left = np.concatenate([left, mine])
+                break
+        size[least] = 0
+
+
 @lru_cache
 def masks(distance: int) -> list[tuple[int, int]]:
     """(block, mask of its bits): fingerprints within `distance` are equal under at least one."""
@@ -233,7 +263,7 @@ def entry_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, group: int, gr
         length = np.diff(np.append(start, n))
         some = np.repeat(open_, length)
         row, entry = row[some], np.repeat(np.arange(len(start)), length)[some]
-        p = links(entry, row, hi[row], lo[row], distance)
+        p = links(entry, row, hi[row], lo[row], distance, label=label[row])
         p = p[label[p[:, 0]] != label[p[:, 1]]]
         if len(p):
             label = _merged(label, p[:, 0], p[:, 1])
