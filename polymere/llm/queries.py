@@ -29,9 +29,11 @@ def op3_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_capture_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's index record in global order; pages are fetched one a second from the start of 2024."""
-    pages = table(spark, sf_dir, "pages")
-    return capture_merge.merge_runs(capture_merge.captures_of(pages, F.lit(1704067200) + F.col("page_id")))
+    """Index records of three fetches of every page, a day apart, in global order; every third page has changed by the last."""
+    fetched = table(spark, sf_dir, "pages").withColumn("visit", F.explode(F.array(*map(F.lit, range(3)))))
+    changed = F.when((F.col("visit") == 2) & (F.col("page_id") % 3 == 0), "<!-- again -->").otherwise("")
+    fetched = fetched.withColumn("html", F.concat("html", changed))
+    return capture_merge.merge_runs(capture_merge.captures_of(fetched, F.lit(1704067200) + F.col("page_id") % 1000 + F.col("visit") * 86400))
 
 
 def op5_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:

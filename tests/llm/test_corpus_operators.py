@@ -342,25 +342,32 @@ def test_loser_tree_against_sorting():
         assert list(capture_merge.LoserTree([iter(s) for s in streams])) == sorted(x for s in streams for x in s)
 
 
-@pytest.mark.parametrize("range_rows", [7, 10**6])
-def test_merge_against_sorting(spark, range_rows):
+@pytest.mark.parametrize("range_bytes", [90, 700, 10**6])
+def test_merge_against_sorting(spark, range_bytes):
     rng = random.Random(3)
     urls = [None, "", "http://www.B.com/x?b=2&a=1#f", "https://b.com:443/X/?a=1&b=2", "https://u@sub.b.com/p/", "a.org", "http://a.org/é"]
-    pages = [(rng.choice([None, i]), rng.choice(urls), rng.choice(["h1", "h2", None]), rng.choice([None, 5, 6, 7])) for i in range(60)]
+    pages = [(rng.choice([None, i]), rng.choice(urls), rng.choice(["h1", "h2", None]), rng.choice([None, *range(9)])) for i in range(120)]
+    # a third of all are captures of one key; and a very long key
+    pages += [(1000 + i, "http://hot.org/", rng.choice(["h1", "h2"]), i // 2) for i in range(60)] + [(7, "http://long.org/" + "x" * 50_000, "h1", 1)] * 2
     pages += pages[:5]
     df = with_clashes(spark.createDataFrame(pages, "page_id bigint, url string, html string, t bigint").repartition(4)).drop("position")
-    got = capture_merge.merge_runs(capture_merge.captures_of(df, df["t"]), range_rows, sample_keys=10).collect()
+    captures = capture_merge.captures_of(df, df["t"])
+    if range_bytes == 90:
+        bounds = capture_merge.range_bounds(captures, range_bytes, 100)
+        assert bounds == sorted(bounds) and sum(k == "org,hot)/" for k, _ in bounds) > 3
+    got = sorted(capture_merge.merge_runs(captures, range_bytes, 100).collect(), key=lambda r: r.position)
     low = lambda v: -1 if v is None else v
-    keys = [(r.urlkey.encode(), low(r.ts), low(r.page_id)) for r in sorted(got, key=lambda r: r.position)]
-    assert keys == sorted(keys) and [r.position for r in sorted(got, key=lambda r: r.position)] == list(range(len(pages)))
+    keys = [(r.urlkey.encode(), low(r.ts), low(r.page_id), r.digest or "") for r in got]
+    assert keys == sorted(keys) and [r.position for r in got] == list(range(len(pages)))
     assert Counter((r.url, r.ts, r.page_id) for r in got) == Counter((u, t, i) for i, u, _, t in pages)
     history = defaultdict(list)
-    for r in sorted(got, key=lambda r: r.position):
+    for r in got:
         history[r.urlkey].append(r)
-    assert set(history) == {")/", "com,b)/x?a=1&b=2", "com,b,sub)/p", "org,a)/", "org,a)/é"}
+    assert set(history) == {")/", "com,b)/x?a=1&b=2", "com,b,sub)/p", "org,a)/", "org,a)/é", "org,hot)/", "org,long)/" + "x" * 50_000}
     for rows in history.values():
         assert [r.capture_no for r in rows] == list(range(1, len(rows) + 1))
         assert [r.revisit for r in rows] == [False] + [b.digest is not None and a.digest == b.digest for a, b in zip(rows, rows[1:])]
+    assert any(r.revisit for r in history["org,hot)/"])
     assert capture_merge.merge_runs(capture_merge.captures_of(df.limit(0), df["t"])).count() == 0
 
 
