@@ -10,7 +10,8 @@ their bytes, make the document's.
 Defined results: a null or empty text has no window, and predicted and
 confidence are null. A null declared language is predicted, but not trained on.
 Without labelled rows nothing is predicted. Equal probabilities go to the
-language that sorts first.
+language that sorts first. A doc_id that is no whole number counts as null, a
+repeated row is sampled once and predicted each time.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import sample_rows, text_slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 TRAIN_DOCS = 600
+#: Bytes of the sampled texts at most.
+TRAIN_BYTES = 16 << 20
+#: Languages at most, the most frequent.
+LANGUAGES = 500
 #: Documents sampled of a language at least, if it has them.
 LANGUAGE_DOCS = 20
 _WIDEST = max(WIDTHS)
@@ -177,24 +182,10 @@ def classify(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return p, n
 
 
-def sample(known: DataFrame, train_docs: int) -> DataFrame:
-    """About train_docs rows, all if there are no more, but of each language LANGUAGE_DOCS at least or all that it has."""
-    counts = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().collect()]
-    n = sum(c for _, c in counts)
-    if n <= train_docs:
-        return known
-    share = [(lang, max(train_docs / n, LANGUAGE_DOCS / c)) for lang, c in counts]
-    bounds = [(lang, int(f * 2**63) * 2 - 2**63 if f < 1 else 2**63 - 1) for lang, f in share]
-    of = known.sparkSession.createDataFrame(bounds, "lang string, bound bigint")
-    drawn = F.xxhash64(F.lit(17), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return known.join(F.broadcast(of), "lang").filter(drawn <= F.col("bound")).select(*known.columns)
-
-
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network:
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text <> ''")
-    rows = sample(known, train_docs).collect()
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    known = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text <> ''")
+    rows = sample_rows(known, train_docs, "lang", "text", TRAIN_BYTES, LANGUAGE_DOCS, LANGUAGES)
+    return fit([r.text for r in rows], [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -210,5 +201,5 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
             top = p.max(axis=1) if net.languages else np.zeros(len(n))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), names, pa.array(top, mask=none), pa.array(n)], ["doc_id", "lang", "predicted", "confidence", "n_windows"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, lang string, predicted string, confidence double, n_windows bigint")

@@ -11,7 +11,9 @@ Documents of at least `threshold` are kept.
 
 Defined results: a null text has no lines and quality null, a text without any
 byte but line ends has quality 0; both are rejected. Labels that are null count
-as absent. Without labels every quality is 0.5, and is kept.
+as absent. Without labels every quality is 0.5, and is kept. A line is labelled
+good if its marginal is 0.5 or more. A doc_id that is no whole number counts as
+null; a repeated row is sampled once and scored each time.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, text_slices
+from .common import drop_table, persist_table, sample_rows, text_slices
 from .words import find_words
 
 TRAIN_DOCS = 2000
+#: Bytes of the sampled texts at most.
+TRAIN_BYTES = 32 << 20
 THRESHOLD = 0.5
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -155,42 +159,49 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.
     return weights, step
 
 
-def quality_of(texts: pa.Array, weights: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Quality and number of lines of each text; NaN and 0 for a null one."""
-    out, lines = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+def quality_of(texts: pa.Array, weights: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Quality, number of lines and their labels, a 1 for each good and a 0 for each bad one, of each text; NaN, 0 and null for a null one."""
+    out, lines, labels = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [np.zeros(0, np.uint8)]
     for a, b, data, offsets in text_slices(texts):
         x, size, first = line_features(data, offsets)
         left, right = forward_backward((x @ weights.astype(np.float32)).astype(np.float64), first, step)
+        good = _sigmoid(left + right)
         total = np.add.reduceat(size, first[:-1])
-        good = np.add.reduceat(size * _sigmoid(left + right), first[:-1])
-        out[a:b] = np.where(total > 0, good / np.maximum(total, 1), 0)
+        out[a:b] = np.where(total > 0, np.add.reduceat(size * good, first[:-1]) / np.maximum(total, 1), 0)
         lines[a:b] = np.diff(first)
+        labels.append(np.where(good >= 0.5, ord("1"), ord("0")).astype(np.uint8))
     gone = texts.is_null().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(lines)]).astype(np.int64)
+    held = pa.py_buffer(np.packbits(~gone, bitorder="little"))
+    line_labels = pa.Array.from_buffers(pa.large_string(), len(texts), [held, pa.py_buffer(ends), pa.py_buffer(np.concatenate(labels))])
     out[gone], lines[gone] = np.nan, 0
-    return out, lines
+    return out, lines, line_labels
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most about `train_docs` labelled documents, chosen by a hash of doc_id."""
-    known = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("quality").cast("int").alias("__quality")).filter("__id is not null and __quality in (0, 1)")
-    sample = hashed_sample(known, train_docs, "__id")
-    # the sample has about train_docs rows at any size of the tables
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__quality").collect()
-    rows.sort(key=lambda r: (r[0], r[2], r[1]))
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on at most `train_docs` labelled documents of `train_bytes` in all."""
+    known = labels.select(F.col("doc_id").try_cast("bigint").alias("__id"), F.col("quality").cast("int").alias("__quality"), F.lit("").alias("__none")).filter("__id is not null and __quality in (0, 1)")
+    # twice as many labels as documents, since not every label has one
+    ids = [(r["__id"], r["__quality"]) for r in sample_rows(known, 2 * train_docs, "__quality", "__none", 1)]
+    held = F.broadcast(docs.sparkSession.createDataFrame(ids, "__id bigint, __quality int"))
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(held, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__quality")
+    labelled, path = persist_table(rows, "labelled")
+    picked = sample_rows(labelled, train_docs, "__quality", "text", train_bytes)
+    drop_table(docs.sparkSession, path)
+    return fit([r["text"] for r in picked], [r["__quality"] for r in picked])
 
 
 def score(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_lines, quality, keep) of every row of docs."""
+    """(doc_id, n_lines, line_labels, quality, keep) of every row of docs; line_labels has a 1 for each good line and a 0 for each bad one."""
     weights, step = train(docs, labels, train_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, n = quality_of(b.column("text"), weights, step)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(q, mask=np.isnan(q)), pa.array(q >= threshold)], ["doc_id", "n_lines", "quality", "keep"])
+            q, n, lines = quality_of(b.column("text"), weights, step)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), lines.cast(b.column("text").type), pa.array(q, mask=np.isnan(q)), pa.array(q >= threshold)], ["doc_id", "n_lines", "line_labels", "quality", "keep"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_lines bigint, quality double, keep boolean")
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, n_lines bigint, line_labels string, quality double, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
@@ -199,6 +210,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(quality_of(b.column("text").cast(pa.string()), weights, step)[0] >= threshold))
+            yield b.filter(pa.array(quality_of(b.column("text"), weights, step)[0] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -125,6 +125,22 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r.lang == r.predicted for r in rows]) > 0.97
 
 
+def test_network_against_a_plain_convolution():
+    """One window at a time, one filter at a time, in Python's own numbers."""
+    net = byte_cnn.fit([prose(60, 1), prose(60, 2)] * 3, ["a", "b"] * 3, epochs=1)
+    data = prose(20, 9).encode()[: byte_cnn.WINDOW]
+    w, _, _ = byte_cnn.windows_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    window = [int(b) for b in data] + [0] * (byte_cnn.WINDOW - len(data))
+    pooled = []
+    for width in byte_cnn.WIDTHS:
+        for k in range(byte_cnn.FILTERS):
+            top = max(sum(float(net.e[window[at + j], d]) * float(net.f[width][j * byte_cnn.EMBEDDING + d, k]) for j in range(width) for d in range(byte_cnn.EMBEDDING)) for at in range(byte_cnn.WINDOW - width + 1))
+            pooled.append(max(0.0, top + float(net.b[width][k])))
+    z = [sum(h * float(net.o[i, c]) for i, h in enumerate(pooled)) + float(net.c[c]) for c in range(2)]
+    total = sum(math.exp(v) for v in z)
+    assert net.probabilities(w)[0] == pytest.approx([math.exp(v) / total for v in z], abs=1e-4)
+
+
 def test_strided_inference_equals_pooling_and_one_text_alone():
     texts = [prose(n, n) for n in (1, 30, 200)]
     net = byte_cnn.fit(texts * 3, ["a", "b", "c"] * 3, epochs=1)
@@ -247,12 +263,27 @@ def test_line_features_see_lines_and_neighbours():
     assert not x[first[1:] - 1, 2 * own : 3 * own].any() and not x[first[:-1], own : 2 * own].any()
 
 
+def test_line_labels_are_the_marginals():
+    rng = np.random.default_rng(3)
+    weights, step = rng.normal(size=line_crf.FEATURES), rng.normal(size=(2, 2))
+    texts = ["One two.\nTHREE!!\n", "x\n\ny", None, "", "a b c d\n!!! ###"]
+    q, n, labels = line_crf.quality_of(pa.array(texts), weights, step)
+    for t, quality, k, got in zip(texts, q, n, labels.to_pylist()):
+        if t is None:
+            assert got is None and np.isnan(quality) and k == 0
+            continue
+        x, size, _ = line_crf.line_features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        p = brute_marginals(x @ weights.astype(np.float32), step)
+        assert got == "".join("1" if v >= 0.5 else "0" for v in p)
+        assert quality == pytest.approx(float(p @ size / size.sum()) if size.sum() else 0.0, abs=1e-5)
+
+
 def test_held_out_accuracy():
     import duckdb
 
     rows = duckdb.connect().sql("select text, quality from '/root/testdata/sf0.01/documents.parquet' join '/root/testdata/sf0.01/labels.parquet' using (doc_id) order by doc_id").fetchall()
     model = line_crf.fit([r[0] for r in rows[::2]], [r[1] for r in rows[::2]])
-    q, _ = line_crf.quality_of(pa.array([r[0] for r in rows[1::2]]), *model)
+    q, _, _ = line_crf.quality_of(pa.array([r[0] for r in rows[1::2]]), *model)
     y = np.array([r[1] for r in rows[1::2]])
     assert (q[y == 1] >= 0.5).mean() > 0.97 and (q[y == 0] < 0.5).mean() > 0.8
 
@@ -265,6 +296,7 @@ def test_field_on_awkward_rows(spark):
     by = {r.doc_id: r for r in rows}
     assert by[4].quality is None and not by[4].keep and by[4].n_lines == 0
     assert by[5].quality == 0 and not by[5].keep and by[7].n_lines == 4
+    assert by[4].line_labels is None and all(len(r.line_labels or "") == r.n_lines for r in rows)
     kept = line_crf.keep_good(df, labels)
     assert kept.columns == df.columns and kept.count() == sum(r.keep for r in rows)
     assert {r.quality for r in line_crf.score(df, labels.limit(0)).filter("n_lines > 0").collect()} <= {0.0, 0.5}
