@@ -9,11 +9,13 @@ spans of `min_span` words or more are reported.
 
 The test side is held by every task. Its size is checked: beyond `held_bytes`
 of text it is dealt by hash into as many passes as it takes, with equal result.
+Passes run one after the other: what one found is written, and its test side is
+let go before the next is built, so that driver and tasks hold one at a time.
 
-Defined results: null and empty texts share nothing; a null doc_id or item_id is
-carried as it is; a repeated document gives its spans again, a repeated test
-row counts once. A text of fewer grams than a window has all its grams as
-fingerprints.
+Defined results: null and empty texts share nothing; a null doc_id or item_id, or
+one that is no whole number, is null; a repeated document gives its spans again,
+a repeated test row counts once. A text of fewer grams than a window has all its
+grams as fingerprints. Other columns aren't touched.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import map_rows, persist_table, text_slices
 from .words import Words, find_words, mix
 
 K = 5
@@ -119,26 +122,37 @@ class TestSide:
                         yield base + t, item, lo + s, lo + s - shift, e - s
 
 
-def _sides(benchmark: DataFrame, k: int, window: int, min_span: int, held_bytes: int) -> list[TestSide]:
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, math.ceil(size / held_bytes))
-    sides = []
-    for i in range(passes):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
-        sides.append(TestSide([r.item_id for r in part], [r.text for r in part], k, window, min_span))
-    return sides
+class _Sides:
+    """The test side in passes of about held_bytes of text, built one at a time."""
+
+    def __init__(self, benchmark: DataFrame, k: int, window: int, min_span: int, held_bytes: int) -> None:
+        self.rows = benchmark.select(F.col("item_id").try_cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+        self.passes = max(1, math.ceil((self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / held_bytes))
+        self.how = k, window, min_span
+
+    def side(self, i: int) -> TestSide:
+        part = self.rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.passes)) == i).collect()
+        part.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
+        return TestSide([r.item_id for r in part], [r.text for r in part], *self.how)
+
+    def each(self, docs: DataFrame, work: Callable[[Broadcast], DataFrame], label: str) -> DataFrame:
+        """What `work` makes of all passes."""
+        context = docs.sparkSession.sparkContext
+        if self.passes == 1:
+            return work(context.broadcast(self.side(0)))
+        found = []
+        for i in range(self.passes):
+            held = context.broadcast(self.side(i))
+            found.append(persist_table(work(held), label)[0])
+            held.destroy()
+        return reduce(DataFrame.unionByName, found)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, min_span: int = MIN_SPAN, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words) of each longest span of words that a document shares with a test text."""
-    schema = "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_words bigint"
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    context = docs.sparkSession.sparkContext
-
-    def finder(side: TestSide) -> Callable:
-        held = context.broadcast(side)
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    def spans(held: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             side = held.value
             for b in batches:
@@ -146,25 +160,41 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window
                 if len(found):
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(found[:, 0].copy())), side.ids.take(pa.array(found[:, 1].copy())), *(pa.array(found[:, c].copy()) for c in (2, 3, 4))], ["doc_id", "item_id", "doc_start", "item_start", "n_words"])
 
-        return run
+        return rows.mapInArrow(run, "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_words bigint")
 
-    return reduce(DataFrame.unionByName, (rows.mapInArrow(finder(s), schema) for s in _sides(benchmark, k, window, min_span, held_bytes)))
+    return _Sides(benchmark, k, window, min_span, held_bytes).each(docs, spans, "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, min_span: int = MIN_SPAN, held_bytes: int = HELD_BYTES) -> DataFrame:
     """docs without those that share a span of min_span words or more with a test text; all columns as they are."""
-    context = docs.sparkSession.sparkContext
-    for side in _sides(benchmark, k, window, min_span, held_bytes):
-        held = context.broadcast(side)
+    sides = _Sides(benchmark, k, window, min_span, held_bytes)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def rest(held: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[s[0] for s in held.value.spans(b.column("text").cast(pa.string()))]] = False
+                keep[[s[0] for s in held.value.spans(b.column("text"))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return map_rows(docs, run, docs.schema)
+
+    if sides.passes == 1:
+        return sides.each(docs, rest, "clean")
+    # beyond one pass each finds texts, by two hashes, and what all found goes at the end
+    hashed = [F.xxhash64("text").alias("__x"), F.xxhash64(F.lit(K), "text").alias("__y")]
+    texts = docs.select(F.col("text").cast("string").alias("text")).select(*hashed, "text")
+
+    def leaks(held: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = sorted({s[0] for s in held.value.spans(b.column("text"))})
+                yield b.select(["__x", "__y"]).take(pa.array(hit, pa.int64()))
+
+        return texts.mapInArrow(run, "__x bigint, __y bigint")
+
+    gone = sides.each(docs, leaks, "leaks").distinct()
+    mine = [F.xxhash64(docs["text"].cast("string")), F.xxhash64(F.lit(K), docs["text"].cast("string"))]
+    return docs.join(gone, (mine[0] == gone["__x"]) & (mine[1] == gone["__y"]), "left_anti")
 
 
 ORACLE_SQL = """
