@@ -9,8 +9,9 @@ on which payloads share the run.
 
 Defined results: a null payload, or an unknown or null codec, gives null n_samples
 and pcm; an empty payload gives no samples. A last ADPCM block may be short; one
-without a whole header gives none. A null id is carried as it is, and a repeated
-row gives its audio again.
+without a whole header gives none. Audio beyond the 2 GB that a value can hold
+is null too. A null id is carried as it is, one that is no whole number is null,
+and a repeated row gives its audio again.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CODECS = ("mulaw", "alaw", "ima_adpcm")
 HALF_TAPS = 8
 CHUNK = 1 << 20
+#: Bytes of a value that Spark can hold.
+LONGEST = (1 << 31) - 64
 
 
 def _mulaw() -> np.ndarray:
@@ -147,13 +151,23 @@ def decode(payloads: list[np.ndarray | None], codecs: list[str | None], rate_in:
     return pcm
 
 
-def _binary(pcm: list[np.ndarray | None]) -> pa.Array:
+def n_samples(n_bytes: int, codec: str | None, rate_in: int, rate_out: int, block: int) -> int:
+    """Samples at rate_out of a payload of n_bytes."""
+    n = n_bytes
+    if codec == "ima_adpcm":
+        whole, rest = divmod(n_bytes, block)
+        n = whole * (1 + 2 * (block - 4)) + (1 + 2 * (rest - 4) if rest >= 4 else 0)
+    return -(-n * rate_out // rate_in)
+
+
+def _binary(pcm: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
     """Samples as a binary column, by its buffers: pyarrow doesn't release memory views that it makes values of."""
     there = np.array([s is not None for s in pcm], bool)
-    offsets = np.concatenate([[0], np.cumsum([0 if s is None else 2 * len(s) for s in pcm])]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum([0 if s is None else 2 * len(s) for s in pcm])]).astype(np.int64)
     data = np.concatenate([np.zeros(0, np.int16), *[s for s in pcm if s is not None]]).astype("<i2", copy=False)
     known = pa.py_buffer(np.packbits(there, bitorder="little"))
-    return pa.BinaryArray.from_buffers(pa.binary(), len(pcm), [known, pa.py_buffer(offsets), pa.py_buffer(data)])
+    large = pa.types.is_large_binary(kind)
+    return pa.Array.from_buffers(kind, len(pcm), [known, pa.py_buffer(offsets if large else offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
 def store_pcm(df: DataFrame, id_column: str, payload: str, codec: str, rate_in: int = 8000, rate_out: int = 16000, block: int = 256) -> DataFrame:
@@ -162,7 +176,7 @@ def store_pcm(df: DataFrame, id_column: str, payload: str, codec: str, rate_in:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = b.column("payload")
-            length = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]).astype(np.int64) if len(data) else np.zeros(0, np.int64)
+            length = pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             turn = (np.cumsum(length) - length) // CHUNK
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(turn)) + 1, [len(data)]])
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -170,10 +184,10 @@ def store_pcm(df: DataFrame, id_column: str, payload: str, codec: str, rate_in:
                     continue
                 part = b.slice(lo, hi - lo)
                 names = part.column("codec").to_pylist()
-                pcm = decode([None if not v.is_valid else np.frombuffer(v.as_buffer(), np.uint8) for v in part.column("payload")], names, rate_in, rate_out, block)
+                fits = [2 * n_samples(int(n), c, rate_in, rate_out, block) <= LONGEST for n, c in zip(length[lo:hi], names)]
+                pcm = decode([None if not v.is_valid or not ok else np.frombuffer(v.as_buffer(), np.uint8) for v, ok in zip(part.column("payload"), fits)], names, rate_in, rate_out, block)
                 n = pa.array([None if s is None else len(s) for s in pcm], pa.int64())
-                store = _binary(pcm)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("codec"), pa.array(np.full(len(pcm), rate_out, np.int32)), n, store], ["id", "codec", "sample_rate", "n_samples", "pcm"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("codec"), pa.array(np.full(len(pcm), rate_out, np.int32)), n, _binary(pcm, data.type)], ["id", "codec", "sample_rate", "n_samples", "pcm"])
 
-    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(payload).cast("binary").alias("payload"), F.col(codec).cast("string").alias("codec"))
-    return rows.mapInArrow(run, f"id bigint, codec string, sample_rate int, n_samples bigint, pcm binary").withColumnRenamed("id", id_column)
+    rows = df.select(F.col(id_column).try_cast("bigint").alias("id"), F.col(payload).cast("binary").alias("payload"), F.col(codec).cast("string").alias("codec"))
+    return rows.mapInArrow(run, "id bigint, codec string, sample_rate int, n_samples bigint, pcm binary").withColumnRenamed("id", id_column)
