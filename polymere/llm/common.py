@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +113,18 @@ def sample_rows(df: DataFrame, rows: int, by: str, text: str, max_bytes: int, le
     return sorted(rows_of, key=lambda r: (r["__h"], str(r["__by"])))
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """df.mapInArrow for columns of any name: with dots in it, mapInArrow itself doesn't find them."""
+    names, given = df.columns, [f"c{i}" for i in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns(given)
+
+    plain = T.StructType([T.StructField(c, f.dataType) for c, f in zip(given, schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about `size` bytes: first row, end row, their bytes, and offsets (one more than rows).
 

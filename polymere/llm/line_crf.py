@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, persist_table, sample_rows, text_slices
+from .common import drop_table, map_rows, persist_table, sample_rows, text_slices
 from .words import find_words
 
 TRAIN_DOCS = 2000
@@ -212,4 +212,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS,
         for b in batches:
             yield b.filter(pa.array(quality_of(b.column("text"), weights, step)[0] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import persist_table
+from .common import map_rows, persist_table
 
 ROWS_PER_SHARD = 2048
 #: Rows of a receiver, if there are more receivers than shuffle partitions.
@@ -201,7 +201,7 @@ def shuffle_into_shards(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD, s
         plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
         return [F.xxhash64(F.lit(seed + salt), *plain), F.xxhash64(F.lit(seed + salt + 2), *plain)]
 
-    sent = docs.sortWithinPartitions(*order(0)).mapInArrow(send, schema).repartitionById(receivers, F.col(f"`{shard}`"))
+    sent = map_rows(docs.sortWithinPartitions(*order(0)), send, schema).repartitionById(receivers, F.col(f"`{shard}`"))
     # a partition is one receiver's; the number of a row after all permutations gives its shard
     number = free_name(docs, "row_number")
     local = F.row_number().over(Window.partitionBy(F.col(f"`{shard}`")).orderBy(*order(1)))

@@ -376,4 +376,4 @@ def deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
         return left
     rest = left.join(repeated, left["doc_id"] == repeated["__again"], "left_anti")
     text_less = left.join(repeated, left["doc_id"] == repeated["__again"], "left_semi")
-    return rest.unionByName(text_less.filter("text is not null").dropDuplicates(["doc_id"])).unionByName(text_less.filter("text is null"))
+    return rest.union(text_less.filter("text is not null").dropDuplicates(["doc_id"])).union(text_less.filter("text is null"))

@@ -244,6 +244,28 @@ def test_shares_follow_the_schedule(spark):
         assert part.count("a") / len(part) == pytest.approx(0.25 + 0.5 * (lo + 0.125), abs=0.01)
 
 
+@pytest.mark.parametrize("step", [2, 100])
+def test_texts_go_straight_to_their_stretch(spark, monkeypatch, step):
+    """The same order and positions as from narrow rows, with repeated ids to both sides of an edge, and a plan of one exchange of the text."""
+    monkeypatch.setattr(curriculum, "_STEP", step)
+    rng = random.Random(4)
+    rows = [(i // 3 if i % 7 else 5, f"t{i} " + " ".join("w" * rng.randint(0, 9)), "en", rng.choice([None, "a", "a", "b"]), 0) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        mixed = curriculum.mix(df, budget=1700)
+        got = mixed.collect()
+        ordered = curriculum.training_order(df, budget=1700).collect()
+        assert mixed.rdd.getNumPartitions() == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert 300 < len(got) < 900
+    assert [(r.doc_id, r.source, r["__tokens"], round(r["__position"], 6)) for r in got] == [tuple(r) for r in ordered]
+    plan = mixed._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "rangepartitioning" not in plan
+
+
 def test_curriculum_on_awkward_rows(spark):
     df = with_clashes(spark.createDataFrame(awkward(), SCHEMA))
     got = curriculum.mix(df, budget=10**9).select(*df.columns)
