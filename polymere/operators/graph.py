@@ -67,6 +67,25 @@ def bfs(edges: DataFrame, start, max_depth: int) -> DataFrame:
     return out
 
 
+def bfs_ids(edges: DataFrame, start, max_depth: int) -> DataFrame:
+    """(id) of bfs in its order: by depth, then by id."""
+    return bfs(edges, start, max_depth).orderBy("depth", "id").select("id")
+
+
+def add_nodes(g: Graph, nodes: DataFrame) -> Graph:
+    """The graph with more nodes; one whose id is there already takes the old one's place."""
+    return Graph(g.nodes.join(nodes, "id", "left_anti").unionByName(nodes, allowMissingColumns=True), g.edges)
+
+
+def add_edges(g: Graph, edges: DataFrame) -> Graph:
+    return Graph(g.nodes, g.edges.unionByName(edges, allowMissingColumns=True))
+
+
+def counts(g: Graph) -> DataFrame:
+    """One row: nodes, edges."""
+    return g.nodes.agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(g.edges.agg(F.count("*").alias("edges"))))  # one row each
+
+
 def _steps(edges: DataFrame, direction: str, kind: str | None) -> DataFrame:
     if kind is not None:
         edges = edges.filter(F.col("type") == kind)

@@ -114,24 +114,51 @@ def remove(triples: DataFrame, gone: DataFrame) -> DataFrame:
     return triples.join(gone, ["s", "p", "o"], "left_anti")
 
 
+_COMPARE = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
+
+
 def _condition(term: Column, op: str, literal: str) -> Column:
-    compare = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
+    compare = _COMPARE[op]
     if literal.startswith("<"):
         if op not in ("=", "!="):
             raise SparqlError("IRIs are compared by = and != only")
         return term.startswith("<") & compare(term, F.lit(literal))
     if literal.startswith('"'):
         return compare(lexical(term), F.lit(re.match(r'"((?:[^"\\]|\\.)*)"', literal)[1]))
-    return compare(lexical(term).try_cast("double"), F.lit(float(literal)))
+    if not re.fullmatch(r"-?\d+(?:\.\d+)?", literal):
+        raise SparqlError(f"{literal!r} is neither a number nor a text nor an IRI")
+    text = lexical(term)
+    real = compare(text.try_cast("double"), F.lit(float(literal)))
+    if "." in literal or not -(2**63) <= int(literal) < 2**63:
+        return real
+    # whole numbers are compared as such: doubles would make neighbours equal beyond 2^53
+    whole = F.when(text.rlike(r"^[+-]?\d+$"), text).try_cast("bigint")
+    return F.coalesce(compare(whole, F.lit(int(literal))), real)
+
+
+def joined_order(patterns: tuple[tuple[str, str, str], ...]) -> list[tuple[str, str, str]]:
+    """Patterns in an order in which each shares a variable with one before, as far as there is one; of several the one with the most constants comes first."""
+    left, out, bound = list(patterns), [], set()
+    variables = lambda p: {t[1:] for t in p if t[:1] in ("?", "$")}
+    while left:
+        pick = max(range(len(left)), key=lambda i: (bool(variables(left[i]) & bound) or not out, 3 - len(variables(left[i]) - bound), -i))
+        out.append(left.pop(pick))
+        bound |= variables(out[-1])
+    return out
 
 
 def select(triples: DataFrame, text: str) -> DataFrame:
-    """Solutions as rows, one column for each variable; one that no pattern binds is null."""
+    """Solutions as rows, one column for each variable; one that no pattern binds is null.
+
+    Names of variables keep their case; within the joins they have numbers.
+    """
     q = parse(text)
-    left = None
-    bound: list[str] = []
-    for n, pattern in enumerate(q.patterns):
-        part, first = triples.filter("s is not null and p is not null and o is not null"), {}
+    if not q.patterns:
+        raise SparqlError("WHERE has no pattern")
+    known = triples.filter("s is not null and p is not null and o is not null")
+    left, column = None, {}
+    for n, pattern in enumerate(joined_order(q.patterns)):
+        part, first = known, {}
         for place, term in zip("spo", pattern):
             if term[:1] in ("?", "$"):
                 if term[1:] in first:  # the same variable twice
@@ -140,20 +167,19 @@ def select(triples: DataFrame, text: str) -> DataFrame:
                     first[term[1:]] = place
             else:
                 part = part.filter(F.col(place) == (term if term[:1] in '<"_' else f"<{term}>" if ":" in term else term))
-        part = part.select(*[F.col(place).alias(f"v{n}_{v}") for v, place in first.items()], F.lit(1).alias(f"one{n}"))
+        mine = {v: f"v{n}_{i}" for i, v in enumerate(first)}
+        part = part.select(*[F.col(place).alias(mine[v]) for v, place in first.items()], F.lit(1).alias(f"one{n}"))
         if left is None:
-            left = part.select(*[F.col(f"v{n}_{v}").alias(v) for v in first])
+            left = part
         else:
-            shared = [v for v in first if v in bound]
             on = F.lit(True)
-            for v in shared:
-                on = on & (F.col(v) == F.col(f"v{n}_{v}"))
-            left = left.join(part, on).select(*[F.col(b) for b in bound], *[F.col(f"v{n}_{v}").alias(v) for v in first if v not in bound])
-        bound += [v for v in first if v not in bound]
-    if left is None:
-        raise SparqlError("WHERE has no pattern")
+            for v in first:
+                if v in column:
+                    on = on & (F.col(column[v]) == F.col(mine[v]))
+            left = left.join(part, on)
+        column = mine | column
     for v, op, literal in q.filters:
-        left = left.filter(F.coalesce(_condition(F.col(v), op, literal), F.lit(False)) if v in bound else F.lit(False))
-    out = left.select(*[F.col(v) if v in bound else F.lit(None).cast("string").alias(v) for v in q.variables])
+        left = left.filter(F.coalesce(_condition(F.col(column[v]), op, literal), F.lit(False)) if v in column else F.lit(False))
+    out = left.select(*[F.col(column[v]).alias(v) if v in column else F.lit(None).cast("string").alias(v) for v in q.variables])
     out = out.distinct() if q.distinct else out
     return out if q.limit is None else out.limit(q.limit)

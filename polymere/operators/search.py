@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,19 +25,20 @@ def _stem(words: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class Index:
-    """postings: doc_id, term, tf, and positions if kept. docs: doc_id of every document, terms or none."""
+    """postings: doc_id, term, tf, and positions if kept. docs: doc_id and length, in indexed terms, of every document, terms or none; n of them, of this mean length."""
 
     postings: DataFrame
     docs: DataFrame
     stemmed: bool
+    n: int
+    mean: float
 
     def terms(self, query: str) -> list[str]:
         return T.tokens(query, self.stemmed)
 
     def lengths(self) -> DataFrame:
         """(doc_id, length) of every document in indexed terms."""
-        sums = self.postings.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-        return self.docs.join(sums, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length"))
+        return self.docs.select("doc_id", "length")
 
     def vocabulary(self) -> DataFrame:
         """(term, doc_freq, occurrences)"""
@@ -51,21 +52,40 @@ def words_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return rows.filter(~F.col("word").isin(sorted(T.STOPWORDS)))
 
 
-def index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", stemmed: bool = True, positions: bool = False) -> Index:
-    """The postings are written to the shared folder once, sorted by term, so that a query reads its own terms' row groups.
+def _with_terms(words: DataFrame, stemmed: bool) -> DataFrame:
+    """words with `term` for `word`; only the distinct words are stemmed."""
+    if not stemmed:
+        return words.withColumnRenamed("word", "term")
+    stems = words.select("word").distinct().select(F.col("word").alias("__w"), _stem("word").alias("term"))
+    return words.join(stems, F.col("word") == F.col("__w")).drop("word", "__w")
+
+
+def index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", stemmed: bool = True, positions: bool = True) -> Index:
+    """The postings are written to the shared folder once, sorted by term, so that a query reads its own terms' row groups; so are lengths.
 
     Ranges of (term, doc_id) keep a frequent term's postings from being one
-    task's. Positions, which phrases need, are kept if asked for.
+    task's. Positions, which phrases need, can be left out.
     """
-    words = words_of(docs, id_column, text)
-    if stemmed:
-        stems = words.select("word").distinct().select(F.col("word").alias("__w"), _stem("word").alias("term"))
-        words = words.join(stems, F.col("word") == F.col("__w"))
-    else:
-        words = words.withColumnRenamed("word", "term")
+    words = _with_terms(words_of(docs, id_column, text), stemmed)
     postings = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), *([F.sort_array(F.collect_list("position")).alias("positions")] if positions else []))
     postings = cut(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
-    return Index(postings, docs.select(F.col(id_column).alias("doc_id")), stemmed)
+    sums = postings.groupBy(F.col("doc_id").alias("__id")).agg(F.sum("tf").alias("length"))
+    ids = docs.select(F.col(id_column).alias("doc_id"))
+    held = cut(ids.join(sums, F.col("doc_id") == F.col("__id"), "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length")), "lengths")
+    n, mean = held.agg(F.count("*"), F.avg("length")).first()
+    return Index(postings, held, stemmed, n, mean or 0.0)
+
+
+def save(ix: Index, path: str) -> None:
+    """The index as a folder, to be loaded for later queries."""
+    ix.postings.write.parquet(f"{path}/postings")
+    ix.docs.withColumn("stemmed", F.lit(ix.stemmed)).write.parquet(f"{path}/docs")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    docs = spark.read.parquet(f"{path}/docs")
+    n, mean, stemmed = docs.agg(F.count("*"), F.avg("length"), F.bool_or("stemmed")).first()
+    return Index(spark.read.parquet(f"{path}/postings"), docs.select("doc_id", "length"), bool(stemmed), n, mean or 0.0)
 
 
 def _matched(ix: Index, terms: list[str]) -> DataFrame:
@@ -86,25 +106,52 @@ def tf_idf(ix: Index, query: str, mode: str = "and") -> DataFrame:
     terms = ix.terms(query)
     if not terms:
         return _none(ix)
-    n = ix.docs.agg(F.count("*").cast("double").alias("__n"))  # one row
-    scored = _matched(ix, terms).crossJoin(F.broadcast(n)).withColumn("s", F.col("times") * (1 + F.log("tf")) * F.log(F.col("__n") / F.col("df")))
+    scored = _matched(ix, terms).withColumn("s", F.col("times") * (1 + F.log("tf")) * F.log(F.lit(float(ix.n)) / F.col("df")))
     out = scored.groupBy("doc_id").agg(F.sum("s").alias("score"), F.count("*").alias("__terms"))
     if mode == "and":
         out = out.filter(F.col("__terms") == len(set(terms)))
     return out.select("doc_id", "score").orderBy(F.desc("score"), "doc_id")
 
 
+def _bm25(ix: Index, k1: float, b: float) -> Column:
+    """A term's part of a document's score, from tf, df and length."""
+    idf = F.log((F.lit(float(ix.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(ix.mean or 1.0)))
+
+
+def _scored(ix: Index, hit: DataFrame, k1: float, b: float) -> DataFrame:
+    """(doc_id, score, terms) of postings with df; documents without a hit aren't joined."""
+    return hit.join(ix.docs, "doc_id").groupBy("doc_id").agg(F.sum(_bm25(ix, k1, b)).alias("score"), F.collect_set("term").alias("terms")).filter("score > 0")
+
+
 def bm25(ix: Index, query: str | list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of documents with a positive score, for the query's distinct terms. Best first, then by doc_id."""
     terms = sorted(set(ix.terms(query) if isinstance(query, str) else query))
     if not terms:
         return _none(ix)
-    lengths = ix.lengths()
-    totals = lengths.agg(F.count("*").cast("double").alias("__n"), F.avg("length").alias("__mean"))  # one row
-    rows = _matched(ix, terms).join(lengths, "doc_id").crossJoin(F.broadcast(totals))
-    idf = F.log((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("__mean")))
-    return rows.groupBy("doc_id").agg(F.sum(s).alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id")
+    return _scored(ix, _matched(ix, terms), k1, b).select("doc_id", "score").orderBy(F.desc("score"), "doc_id")
+
+
+def rank(ix: Index, query: str, ids: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc_id, score) of the documents in ids (doc_id), 0 for those without a term. Best first, then by doc_id."""
+    wanted = ids.select(F.col("doc_id").alias("__id")).distinct()
+    scores = bm25(ix, query, k1, b)
+    return wanted.join(scores, F.col("__id") == F.col("doc_id"), "left").select(F.col("__id").alias("doc_id"), F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc_id")
+
+
+def bm25_all(ix: Index, queries: DataFrame, k: int, id_column: str = "item_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents for every row of queries, by its distinct terms.
+
+    Terms of queries meet postings by an equality that hashes. Scores are summed
+    before they are exchanged, and ranks taken for each query.
+    """
+    asked = _with_terms(words_of(queries, id_column, text), ix.stemmed).select(F.col("doc_id").alias("query_id"), F.col("term").alias("__term")).distinct()
+    hit = ix.postings.select("doc_id", "term", "tf").join(asked.select(F.col("__term").alias("__t")).distinct(), F.col("term") == F.col("__t"), "left_semi")
+    df = hit.groupBy(F.col("term").alias("__t")).agg(F.count("*").alias("df"))
+    parts = hit.join(df, F.col("term") == F.col("__t")).join(ix.docs, "doc_id").select("doc_id", "term", _bm25(ix, k1, b).alias("s"))
+    scores = parts.join(asked, F.col("term") == F.col("__term")).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score")).filter("score > 0")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def fuzzy_terms(vocabulary: DataFrame, word: Column | str, distance: int) -> DataFrame:
@@ -136,22 +183,22 @@ def phrase(ix: Index, query: str) -> DataFrame:
 
 def ranked(ix: Index, docs: DataFrame, query: str, fuzz: int, k: int, length: int = 160, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, snippet) of the k best by BM25 over the query's terms and those within `fuzz` of one, with snippets for these k only."""
-    terms = ix.terms(query)
-    wide = set(terms)
-    if fuzz > 0 and terms:
-        near = F.lit(False)
-        for t in terms:
-            near = near | (F.levenshtein("term", F.lit(t)) <= fuzz)
-        # terms near a query's few words, not documents
-        wide |= {r.term for r in ix.postings.select("term").distinct().filter(near).collect()}
-    top = bm25(ix, sorted(wide)).limit(k)
-    seen = set(wide)
+    terms = sorted(set(ix.terms(query)))
+    if not terms:
+        return ix.docs.select("doc_id", F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
+    near = F.col("term").isin(terms)
+    for t in terms if fuzz > 0 else ():
+        near = near | (F.levenshtein("term", F.lit(t), fuzz) >= 0)
+    hit = ix.postings.filter(near)
+    df = hit.groupBy(F.col("term").alias("__t")).agg(F.count("*").alias("df"))
+    top = _scored(ix, hit.join(df, F.col("term") == F.col("__t")), 1.2, 0.75).orderBy(F.desc("score"), "doc_id").limit(k)
     stemmed = ix.stemmed
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            surface = [[w for w in T._WORD.findall(t or "") if (T.stem(w.lower()) if stemmed else w.lower()) in seen] for t in p["text"]]
+            # a document's own terms that were looked for, as they stand in its text
+            surface = [[w for w in T._WORD.findall(t or "") if (T.stem(w.lower()) if stemmed else w.lower()) in set(seen)] for t, seen in zip(p["text"], p["terms"])]
             yield pd.DataFrame({"doc_id": p["doc_id"], "score": p["score"], "snippet": [T.snippet(t, s, length) for t, s in zip(p["text"], surface)]})
 
     joined = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("text")).join(F.broadcast(top), F.col("__id") == F.col("doc_id"))  # k rows
-    return joined.select("doc_id", "score", "text").mapInPandas(mark, "doc_id bigint, score double, snippet string").orderBy(F.desc("score"), "doc_id")
+    return joined.select("doc_id", "score", "terms", "text").mapInPandas(mark, "doc_id bigint, score double, snippet string").orderBy(F.desc("score"), "doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +37,26 @@ def encode_geohash(lat: Column, lon: Column, precision: int = 12) -> Column:
     return F.concat(*out)
 
 
-def geohash_bounds(code: str) -> tuple[float, float, float, float]:
-    """(least lat, least lon, greatest lat, greatest lon); a sign that is none counts as 0."""
-    box = [[-90.0, 90.0], [-180.0, 180.0]]
-    for i, bit in enumerate(b for c in code for b in f"{max(0, _BASE32.find(c.lower())):05b}"):
-        axis = box[1 - i % 2]
-        axis[bit == "0"] = sum(axis) / 2
-    return box[0][0], box[1][0], box[0][1], box[1][1]
+def decode_geohash(code: Column) -> Column:
+    """The cell's centre and bounds (lat, lon, min_lat, min_lon, max_lat, max_lon); a sign that is none counts as 0."""
+    signs = F.filter(F.split(F.lower(code), ""), lambda c: c != "")
+    bits = F.array_join(F.transform(signs, lambda c: F.lpad(F.bin(F.greatest(F.instr(F.lit(_BASE32), c) - 1, F.lit(0)).cast("bigint")), 5, "0")), "")
+    x, y = F.regexp_replace(bits, "(.)(.)?", "$1"), F.regexp_replace(bits, "(.)(.)?", "$2")
+
+    def side(b: Column, low: float, span: float) -> tuple[Column, Column]:
+        cell = span / F.pow(F.lit(2.0), F.length(b))
+        start = low + F.when(F.length(b) == 0, 0).otherwise(F.conv(b, 2, 10).cast("bigint")) * cell
+        return start, start + cell
+
+    (lon0, lon1), (lat0, lat1) = side(x, -180.0, 360.0), side(y, -90.0, 180.0)
+    cell = F.struct(((lat0 + lat1) / 2).alias("lat"), ((lon0 + lon1) / 2).alias("lon"), lat0.alias("min_lat"), lon0.alias("min_lon"), lat1.alias("max_lat"), lon1.alias("max_lon"))
+    return F.when(code.isNotNull(), cell)
+
+
+def geohash_bounds(code: Column) -> Column:
+    """(min_lat, min_lon, max_lat, max_lon) of a cell."""
+    d = decode_geohash(code)
+    return F.when(code.isNotNull(), F.struct(*[d[n].alias(n) for n in ("min_lat", "min_lon", "max_lat", "max_lon")]))
 
 
 def _doubles(*names: str) -> T.StructType:
@@ -50,13 +64,6 @@ def _doubles(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
 
-@F.pandas_udf(_doubles("lat", "lon", "min_lat", "min_lon", "max_lat", "max_lon"))
-def decode_geohash(code: pd.Series) -> pd.DataFrame:
-    """The cell's centre and bounds."""
-    rows = [geohash_bounds(c or "") for c in code]
-    return pd.DataFrame([((a + c) / 2, (b + d) / 2, a, b, c, d) for a, b, c, d in rows], columns=["lat", "lon", "min_lat", "min_lon", "max_lat", "max_lon"])
-
-
 def to_web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     clamped = F.least(F.greatest(lat, F.lit(-_MAX_LAT)), F.lit(_MAX_LAT))
     return lon * (_EXTENT / 180), F.ln(F.tan(F.radians((clamped + 90) / 2))) / math.pi * _EXTENT
@@ -71,6 +78,40 @@ def within_box(x: Column, y: Column, box: tuple[float, float, float, float]) ->
     return x.between(box[0], box[2]) & y.between(box[1], box[3])
 
 
+def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def box_contains(a: Column, b: Column) -> Column:
+    """Whether box b is within box a, edges included."""
+    return (a["x0"] <= b["x0"]) & (a["y0"] <= b["y0"]) & (a["x1"] >= b["x1"]) & (a["y1"] >= b["y1"])
+
+
+def box_intersects(a: Column, b: Column) -> Column:
+    return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
+
+
+def box_union(a: Column, b: Column) -> Column:
+    return box(F.least(a["x0"], b["x0"]), F.least(a["y0"], b["y0"]), F.greatest(a["x1"], b["x1"]), F.greatest(a["y1"], b["y1"]))
+
+
+def box_area(a: Column) -> Column:
+    return F.greatest(a["x1"] - a["x0"], F.lit(0.0)) * F.greatest(a["y1"] - a["y0"], F.lit(0.0))
+
+
+def box_distance(a: Column, b: Column) -> Column:
+    """0 where they meet."""
+    gap = lambda n: F.greatest(a[f"{n}0"] - b[f"{n}1"], b[f"{n}0"] - a[f"{n}1"], F.lit(0.0))
+    return F.hypot(gap("x"), gap("y"))
+
+
+def nearest_boxes(df: DataFrame, geom: str, px: float, py: float, k: int, tie: str) -> DataFrame:
+    """The k geometries whose boxes' centres are nearest to a point, with `distance`."""
+    b = df.withColumn("__b", st_bounds(geom)).filter("__b.x0 is not null")
+    at = F.hypot((F.col("__b.x0") + F.col("__b.x1")) / 2 - px, (F.col("__b.y0") + F.col("__b.y1")) / 2 - py)
+    return b.withColumn("distance", at).drop("__b").orderBy("distance", tie).limit(k)
+
+
 def nearest(df: DataFrame, x: str, y: str, px: float, py: float, k: int, tie: str) -> DataFrame:
     return df.withColumn("distance", F.hypot(F.col(x) - px, F.col(y) - py)).orderBy("distance", tie).limit(k)
 
@@ -89,25 +130,64 @@ def distance_join(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str,
     return both.withColumn("distance", F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry))).filter(F.col("distance") <= radius).drop("__dx", "__dy", "__cx", "__cy", "__rx", "__ry")
 
 
-def _binary(f: Callable, kind: T.DataType):
+def _parsed(*columns: pd.Series) -> list[list]:
+    """Parts of each text; each distinct text of a batch is parsed once."""
+    held = {t: G.parse(t) for c in columns for t in c.dropna().unique()}
+    return [[None if t is None or t != t else held[t] for t in c] for c in columns]
+
+
+def _boxes(parts: list) -> np.ndarray:
+    """(n, 4) of x0, y0, x1, y1; NaN where there is none."""
+    known = {id(p): G.bounds(p) for p in parts if p and G.valid(p)}
+    return np.array([known.get(id(p)) or (np.nan,) * 4 for p in parts], np.float64).reshape(-1, 4)
+
+
+def _binary(f: Callable, kind: T.DataType, apart: object = None):
+    """A predicate of two geometries; pairs whose boxes are apart get `apart` at once, if that is known."""
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(G.parse(x), G.parse(y)) for x, y in zip(a, b)])
+        x, y = _parsed(a, b)
+        far = np.zeros(len(x), bool)
+        if apart is not None and len(x):
+            u, v = _boxes(x), _boxes(y)
+            far = ~((u[:, 0] <= v[:, 2] + G.EPS) & (v[:, 0] <= u[:, 2] + G.EPS) & (u[:, 1] <= v[:, 3] + G.EPS) & (v[:, 1] <= u[:, 3] + G.EPS))
+        return pd.Series([None if p is None or q is None else apart if z else f(p, q) for p, q, z in zip(x, y, far)], dtype=object)
 
     return run
 
 
-st_intersects = _binary(G.intersects, T.BooleanType())
-st_disjoint = _binary(lambda a, b: not G.intersects(a, b), T.BooleanType())
-st_contains = _binary(G.contains, T.BooleanType())
-st_within = _binary(lambda a, b: G.contains(b, a), T.BooleanType())
+st_intersects = _binary(G.intersects, T.BooleanType(), False)
+st_disjoint = _binary(lambda a, b: not G.intersects(a, b), T.BooleanType(), True)
+st_contains = _binary(G.contains, T.BooleanType(), False)
+st_within = _binary(lambda a, b: G.contains(b, a), T.BooleanType(), False)
 st_equals = _binary(G.equals, T.BooleanType())
-st_touches = _binary(G.touches, T.BooleanType())
-st_crosses = _binary(G.crosses, T.BooleanType())
-st_overlaps = _binary(G.overlaps, T.BooleanType())
+st_touches = _binary(G.touches, T.BooleanType(), False)
+st_crosses = _binary(G.crosses, T.BooleanType(), False)
+st_overlaps = _binary(G.overlaps, T.BooleanType(), False)
 st_distance = _binary(G.distance, T.DoubleType())
 
 
+def _unary(f: Callable, kind: T.DataType):
+    @F.pandas_udf(kind)
+    def run(a: pd.Series) -> pd.Series:
+        held = {t if not isinstance(t, (bytearray, memoryview)) else bytes(t): None for t in a if t is not None}
+        for t in held:
+            try:
+                held[t] = f(t)
+            except G.GeometryError:
+                held[t] = None
+        return pd.Series([None if t is None else held[t if not isinstance(t, (bytearray, memoryview)) else bytes(t)] for t in a], dtype=object)
+
+    return run
+
+
+#: Between well-known text and bytes and GeoJSON; null where something isn't a geometry.
+wkt_to_wkb = _unary(lambda t: G.to_wkb(G.parse(t)), T.BinaryType())
+wkb_to_wkt = _unary(lambda b: G.to_wkt(G.from_wkb(b)), T.StringType())
+wkt_to_geojson = _unary(lambda t: G.to_geojson(G.parse(t)), T.StringType())
+geojson_to_wkt = _unary(lambda t: G.to_wkt(G.from_geojson(t)), T.StringType())
+
+
 @F.pandas_udf(T.StringType())
 def st_buffer(geom: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([None if g is None else G.buffer(g, r) for g, r in zip(geom, d)])

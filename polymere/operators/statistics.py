@@ -48,3 +48,20 @@ def encoding_advice(df: DataFrame, column: str, order: str) -> DataFrame:
     s = steps.agg(F.count("*").alias("n"), F.approx_count_distinct("v", 0.01).alias("ndv"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg(F.col("__up").cast("double")).alias("up"))
     few = (F.col("ndv") <= 4096) & (F.col("ndv") <= F.col("n") * 0.01)
     return s.select(F.when(few, "dictionary").when((F.col("up") >= 0.8) & (F.col("hi") - F.col("lo") > 65535), "delta_of_delta").when((F.col("lo") >= 0) & (F.col("hi") < 65536), "bit_packed").otherwise("frame_of_reference").alias("encoding"))
+
+
+def selectivity_at_least(buckets: DataFrame, x: float) -> DataFrame:
+    """(selectivity): the share of values >= x, from the buckets of a histogram; within a bucket values are taken as evenly spread."""
+    width = F.col("hi") - F.col("lo")
+    part = F.when(F.col("lo") >= x, 1.0).when(F.col("hi") < x, 0.0).otherwise(F.when(width > 0, (F.col("hi") - x) / width).otherwise(1.0))
+    return buckets.agg(F.coalesce(F.try_divide(F.sum(F.col("n") * part), F.sum("n").cast("double")), F.lit(0.0)).alias("selectivity"))
+
+
+def selectivities(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """(equal, between, not_null): estimates for a predicate on a column, from counts and bounds alone: one value's share, a range's, and that of nulls' absence."""
+    c = F.col(column)
+    s = df.agg(F.count("*").alias("n"), F.count(c).alias("there"), F.count_distinct(c).alias("ndv"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"))
+    there = F.try_divide(F.col("there").cast("double"), F.col("n").cast("double"))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(float(high)), F.col("hi")) - F.greatest(F.lit(float(low)), F.col("lo")))
+    share = F.when(F.col("hi") > F.col("lo"), inside / (F.col("hi") - F.col("lo"))).otherwise(F.col("lo").between(low, high).cast("double"))
+    return s.select(F.coalesce(F.try_divide(there, F.col("ndv").cast("double")), F.lit(0.0)).alias("equal"), F.coalesce(there * share, F.lit(0.0)).alias("between"), F.coalesce(there, F.lit(0.0)).alias("not_null"))

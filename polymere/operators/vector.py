@@ -1,15 +1,18 @@
-"""Vector similarity: exact nearest neighbours of one query or of many."""
+"""Vector similarity: exact nearest neighbours of one query or of many, and approximate ones through an index of cells."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut
+
 #: Bytes of query vectors that every task holds; more are searched in several passes.
 HELD_BYTES = 64 << 20
 
@@ -36,8 +39,12 @@ def nearest(df: DataFrame, query: Sequence[float], k: int, id_column: str = "vec
     return scored.orderBy(F.desc("similarity"), id_column).limit(k)
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1, from the list's flat values; a vector of nulls or length 0 is 0."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten()
+    x = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(flat) else np.zeros((len(column), 1))
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm == 0, 1, norm)
 
@@ -83,3 +90,115 @@ def nearest_to_all(queries: DataFrame, df: DataFrame, k: int, id_column: str = "
         return df.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double, rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+# -- approximate: an inverted file of cells about centres
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """Rows (id, cell, v) in a folder for each cell, the cells' centres, and how many cells a query looks into."""
+
+    rows: DataFrame
+    centers: np.ndarray
+    probes: int
+
+
+def _centers(x: np.ndarray, cells: int, rounds: int, seed: int) -> np.ndarray:
+    """Spherical k-means on unit vectors."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        of = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, of, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 0, sums / np.where(norm == 0, 1, norm), c)
+    return c
+
+
+def _probes_for(x: np.ndarray, centers: np.ndarray, recall: float, k: int) -> int:
+    """The fewest cells in which that share of each sampled vector's k nearest others is found, on average."""
+    q = x[:200]
+    s = q @ x.T
+    s[np.arange(len(q)), np.arange(len(q))] = -2
+    best = np.argsort(-s, axis=1)[:, :k]
+    of = (x @ centers.T).argmax(axis=1)
+    rank = np.argsort(np.argsort(-(q @ centers.T), axis=1), axis=1)
+    need = np.take_along_axis(rank, of[best], axis=1).ravel()
+    return int(np.quantile(need, recall, method="higher")) + 1 if len(need) else 1
+
+
+def build_cells(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", cells: int = 0, train_rows: int = 20_000, recall: float = 0.97, k: int = 10, rounds: int = 8, seed: int = 7) -> CellIndex:
+    """An index of every row. Centres are fitted on at most about `train_rows` rows chosen by a hash of the id, and so is how many cells
+    a query must look into for `recall` of its k nearest. Without `cells` there are as many as the root of the number of rows, 4,096 at most.
+
+    Null ids and vectors aren't indexed; vectors are of one length.
+    """
+    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("v is not null and id is not null")
+    n = rows.count()
+    # ids may repeat, so the share is taken by id and the rest cut
+    share = 2 * train_rows / max(1, n)
+    bound = 2**63 - 1 if share >= 1 else int(share * 2**63) * 2 - 2**63
+    some = rows.filter(F.xxhash64(F.lit(seed), "id", "v") <= F.lit(bound)).limit(train_rows).toArrow()
+    x = _unit(some.column("v")) if some.num_rows else np.zeros((1, 1))
+    centers = _centers(x, cells or max(1, min(4096, math.isqrt(max(1, n)))), rounds, seed)
+    held = df.sparkSession.sparkContext.broadcast(centers)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell = (_unit(b.column("v")) @ held.value.T).argmax(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cell), b.column("v")], ["id", "cell", "v"])
+
+    placed = rows.mapInArrow(place, "id bigint, cell int, v array<float>")
+    return CellIndex(cut(placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("cell"), "cells"), centers, _probes_for(x, centers, recall, k))
+
+
+def search_cells(ix: CellIndex, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", probes: int = 0, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """(query_id, id, similarity, rank): the k most similar of the cells that each query looks into.
+
+    Rows are read once a pass of queries, and each batch meets the queries of its
+    cells as matrices. The query side's size is checked as in nearest_to_all.
+    """
+    q = queries.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("v is not null and id is not null")
+    size = q.agg(F.sum(8 * F.size("v"))).first()[0] or 0
+    passes = max(1, math.ceil(size / held_bytes))
+    context, found = queries.sparkSession.sparkContext, None
+    for i in range(passes):
+        part = q.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).toArrow()
+        if not part.num_rows:
+            continue
+        unit = _unit(part.column("v"))
+        into = np.argsort(-(unit @ ix.centers.T), axis=1, kind="stable")[:, : probes or ix.probes]
+        order = np.argsort(into.ravel(), kind="stable")
+        starts = np.searchsorted(into.ravel()[order], np.arange(len(ix.centers) + 1))
+        held = context.broadcast((part.column("id").to_numpy(), unit, order // into.shape[1], starts))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, unit, asking, starts = held.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own, cell, other = b.column("id").to_numpy(), b.column("cell").to_numpy(), _unit(b.column("v"))
+                for c in np.unique(cell).tolist():
+                    who = asking[starts[c] : starts[c + 1]]
+                    if not len(who):
+                        continue
+                    at = np.flatnonzero(cell == c)
+                    at = at[np.argsort(own[at], kind="stable")]
+                    for lo in range(0, len(who), 512):
+                        some = who[lo : lo + 512]
+                        s = np.round(unit[some] @ other[at].T, 12)
+                        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[some], best.shape[1])), pa.array(own[at][best].reshape(-1)), pa.array(np.take_along_axis(s, best, axis=1).reshape(-1))], ["query_id", "id", "similarity"])
+
+        wanted = ix.rows
+        if len(np.unique(into)) < len(ix.centers) // 2:
+            # few cells: the filter on the sorted cell column skips what no query looks into
+            wanted = wanted.filter(F.col("cell").isin(np.unique(into).tolist()))
+        one = wanted.mapInArrow(run, "query_id bigint, id bigint, similarity double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double, rank int")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= k)

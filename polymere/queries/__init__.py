@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("relational", "models")
+_MODULES = ("relational", "models", "more")
 
 
 def _books() -> list:

@@ -31,7 +31,7 @@ def doc_path_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 book.pipe("doc_path_filter", "from events | filter props.k > 50 | select { event_id, props.k as k }", "SELECT event_id, props->>'$.k' AS k FROM events WHERE (props->>'$.k')::BIGINT > 50", "events")
 
 
-@book.add("SELECT 'k' AS path, count(*) AS documents FROM events WHERE json_exists(props, '$.k')")
+@book.add("SELECT path, count(*) AS documents FROM (SELECT unnest(json_keys(props)) AS path FROM events) GROUP BY path")
 def doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.paths(table(spark, sf_dir, "events").select(D.parse(F.col("props")).alias("d")), "d")
 
@@ -68,7 +68,7 @@ def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.range_scan(_log(spark, sf_dir), 10, 30)
 
 
-@book.add(f"{_KV} SELECT (SELECT count(*) FROM log) AS rows_before, count(*) FILTER (value <> '') AS rows_after, count(*) FILTER (value = '') AS tombstones FROM last")
+@book.add(f"{_KV} SELECT (SELECT count(*) FROM log) AS rows_before, count(*) FILTER (value <> '') AS rows_after, count(*) FILTER (value = '') AS tombstones, (SELECT sum(length(key::VARCHAR) + length(value))::BIGINT FROM log) AS bytes_before, (sum(length(key::VARCHAR) + length(value)) FILTER (value <> ''))::BIGINT AS bytes_after FROM last")
 def kv_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.compaction_stats(_log(spark, sf_dir))
 
@@ -226,8 +226,8 @@ def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"""w AS (SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents) WHERE word <> '' AND word NOT IN ({stops})),
 p AS (SELECT doc_id, word AS term, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT count(*)::DOUBLE AS n FROM documents), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1)""".replace("{stops}", ", ".join(f"'{w}'" for w in sorted(search.T.STOPWORDS)))
-_QUERY = "attion nttionat thanea"
-_IN = "('attion', 'nttionat', 'thanea')"
+_QUERY = "eriner attion thanea"
+_IN = "('eriner', 'attion', 'thanea')"
 _SCORED = f"s AS (SELECT doc_id, sum((1 + ln(tf)) * ln(n / df)) AS score, count(*) AS k FROM p JOIN df USING (term), n WHERE term IN {_IN} GROUP BY 1)"
 
 
@@ -256,9 +256,9 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(_index(spark, sf_dir), _QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@book.add("SELECT DISTINCT p_name AS term, levenshtein(p_name, 'part 100')::INT AS distance FROM part WHERE levenshtein(p_name, 'part 100') <= 3")
+@book.add("SELECT DISTINCT p_name AS term, levenshtein(p_name, 'small widgit')::INT AS distance FROM part WHERE levenshtein(p_name, 'small widgit') <= 5")
 def search_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuzzy_terms(table(spark, sf_dir, "part").select(F.col("p_name").alias("term")).distinct(), "part 100", 3)
+    return search.fuzzy_terms(table(spark, sf_dir, "part").select(F.col("p_name").alias("term")).distinct(), "small widgit", 5)
 
 
 @book.add(f"WITH {_WORDS} SELECT DISTINCT doc_id FROM p WHERE levenshtein(term, 'attions') <= 1")
@@ -325,11 +325,6 @@ def spatial_geometry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.geometry_join(boxes, points, "area", "at", spatial.st_contains, 10.0).select("box", "id")
 
 
-@book.add()
-def spatial_geohash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir).select("id", spatial.encode_geohash(F.col("y"), F.col("x"), 9).alias("geohash"))
-
-
 @book.add(f"WITH {_POINT} SELECT id, round(x * 20037508.342789244 / 180, 3) AS mx, round(ln(tan(radians((y + 90) / 2))) / pi() * 20037508.342789244, 3) AS my FROM p")
 def spatial_web_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
     mx, my = spatial.to_web_mercator(F.col("x"), F.col("y"))
@@ -381,21 +376,22 @@ def access_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.allowed(asked, members, [("admin", "*", "*"), ("reader", "events/vi*", "read"), ("analyst", "events/view", "read"), ("analyst", "events/cl?ck", "read"), ("analyst", "*", "write")]).select("event_id", "allowed")
 
 
-@book.add("""WITH h AS (SELECT event_id, user_id, sha256(event_id || '|' || event_type || '|' || user_id) AS entry_hash FROM events)
-SELECT event_id, entry_hash, coalesce(lag(entry_hash) OVER (PARTITION BY user_id ORDER BY event_id), '') AS prev_hash FROM h""")
+_ENTRY = "sha256(concat(strlen(event_id::VARCHAR), ':', event_id, strlen(event_type), ':', event_type, strlen(user_id::VARCHAR), ':', user_id))"
+
+
+@book.add(f"""WITH l AS (SELECT user_id, list({_ENTRY} ORDER BY event_id) AS c, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id),
+h AS (SELECT ids, list_transform(range(0, len(c) + 1), lambda k: list_reduce(list_prepend('', c[1:k]), lambda a, b: sha256(a || b))) AS f FROM l)
+SELECT unnest(ids) AS event_id, unnest(f[2:]) AS entry_hash, unnest(f[1:len(ids)]) AS prev_hash FROM h""")
 def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.chain(table(spark, sf_dir, "events"), "event_id", ["event_type", "user_id"], "user_id").select("event_id", "entry_hash", "prev_hash")
 
 
-@book.add("SELECT event_id FROM events WHERE false")
+@book.add("SELECT event_id FROM events WHERE event_type = 'purchase'")
 def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose content was changed without their hash: purchases, turned into views."""
     made = security.chain(table(spark, sf_dir, "events"), "event_id", ["event_type", "user_id"], "user_id")
-    return security.broken_links(made, "event_id", ["event_type", "user_id"], "user_id").select("event_id")
-
-
-@book.add()
-def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return security.merkle_root(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority")
+    changed = made.withColumn("event_type", F.when(F.col("event_type") == "purchase", "view").otherwise(F.col("event_type")))
+    return security.broken_links(changed, "event_id", ["event_type", "user_id"], "user_id").select("event_id")
 
 
 @book.add("SELECT c_custkey, c_name AS again FROM customer")
@@ -429,11 +425,6 @@ def stats_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 20)
 
 
-@book.add("SELECT 'dictionary' AS encoding")
-def stats_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.encoding_advice(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_orderkey")
-
-
 # -- files and streams
 
 
