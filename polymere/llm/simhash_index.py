@@ -56,9 +56,9 @@ from .words import find_words, mix
 BYTES = 16
 DISTANCE = 21
 #: Distinct fingerprints of a chunk; a task holds two chunks, of 24 bytes a fingerprint.
-CHUNK = 2_000_000
-#: Tasks that share the entries of a pair of chunks.
-GROUPS = 12
+CHUNK = 1_000_000
+#: Tasks that share the entries of a pair of chunks, if there are many pairs, and tasks in all at least.
+GROUPS, TASKS = 4, 12
 #: First bit of each block of hi and lo, and of the end.
 _BLOCKS = (0, 43, 86, 128)
 #: Ids of this many duplicates are sent to every executor (16 bytes each); more are joined by an exchange.
@@ -275,7 +275,8 @@ def indexed_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     """(a, b): near pairs which connect whatever nodes (node, hi, lo) within `distance` connect."""
     chunks = max(1, -(-nodes.count() // CHUNK))
     of = list(combinations(range(chunks), 2)) or [(0, 0)]
-    tasks = [[t * GROUPS + g for t, pair in enumerate(of) if c in pair for g in range(GROUPS)] for c in range(chunks)]
+    groups = max(GROUPS, -(-TASKS // len(of)))
+    tasks = [[t * groups + g for t, pair in enumerate(of) if c in pair for g in range(groups)] for c in range(chunks)]
     chunk = F.pmod(F.xxhash64("hi", "lo"), F.lit(chunks)).cast("int")
     sent = nodes.select("node", "hi", "lo", F.explode(F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in tasks]), chunk + 1)).alias("task"))
 
@@ -284,10 +285,10 @@ def indexed_pairs(nodes: DataFrame, distance: int) -> DataFrame:
         if held:
             t = pa.Table.from_batches(held)
             node, hi, lo = (t.column(c).to_numpy() for c in ("node", "hi", "lo"))
-            p = entry_links(node, hi, lo, held[0].column("task")[0].as_py() % GROUPS, GROUPS, distance)
+            p = entry_links(node, hi, lo, held[0].column("task")[0].as_py() % groups, groups, distance)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
-    return sent.repartitionById(GROUPS * len(of), "task").mapInArrow(run, "a bigint, b bigint")
+    return sent.repartitionById(groups * len(of), "task").mapInArrow(run, "a bigint, b bigint")
 
 
 def connected(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
