@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,8 @@ class Engine:
         self.indexes: dict[str, tuple[str, str]] = {}
         self.functions: dict[str, Callable[..., Column]] = {}
         self.procedures: dict[str, str] = {}
+        self.aggregates: dict[str, Callable[..., Column]] = {}
+        self.table_functions: dict[str, Callable[..., DataFrame]] = {}
         self._snapshots: list[tuple] = []
 
     # -- registry
@@ -56,6 +59,50 @@ class Engine:
         self.functions[name] = function
         return self
 
+    def register_aggregate(self, name: str, function: Callable[..., Column]) -> Engine:
+        """A function of columns to an aggregate column, for group_by and window: built of built-in aggregates, or a grouped pandas UDF."""
+        self.aggregates[name] = function
+        return self
+
+    def register_table_function(self, name: str, function: Callable[..., DataFrame]) -> Engine:
+        """A function of plain values to rows; table_function calls it, and what it gives can be registered as a table."""
+        self.table_functions[name] = function
+        return self
+
+    def table_function(self, name: str, *args) -> DataFrame:
+        if name not in self.table_functions:
+            raise BindError(f"no table function is called {name}")
+        return self.table_functions[name](*args)
+
+    def register_procedure(self, name: str, text: str) -> Engine:
+        """Statements under a name, separated by `;` at ends of lines; call runs them."""
+        for statement in self._statements(text):
+            parse_statement(statement)
+        self.procedures[name] = text
+        return self
+
+    @staticmethod
+    def _statements(text: str) -> list[str]:
+        return [x for x in (part.strip() for part in re.split(r";[ \t]*(?:\n|\Z)", text)) if x]
+
+    def call(self, name: str, now=None, **params) -> DataFrame | None:
+        """What the last statement of a procedure gives; $name in it is params[name]."""
+        if name not in self.procedures:
+            raise BindError(f"no procedure is called {name}")
+        out = None
+        for statement in self._statements(self.procedures[name]):
+            out = self.run(statement, now, **params)
+        return out
+
+    def promote(self, table: str, column: str, kind: str, path: str | None = None) -> Engine:
+        """The table with a column of a type of its own: a text column cast, or what a document column has at a path."""
+        df = self._base(table)
+        head, _, rest = (path or column).partition(".")
+        c = F.col(head)
+        value = F.try_variant_get(F.try_parse_json(c), f"$.{rest}", kind) if rest else c.try_cast(kind)
+        self.tables[table] = df.withColumn(column, value)
+        return self
+
     def table(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
@@ -63,6 +110,14 @@ class Engine:
             return self._query(self.views[name], Compiler(self))
         raise BindError(f"no table or view is called {name}")
 
+    def counts(self) -> DataFrame:
+        """(name, rows) of every table, counted together."""
+        out = None
+        for n, df in self.tables.items():
+            one = df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows")
+            out = one if out is None else out.unionByName(one)
+        return self.spark.createDataFrame([], "name string, rows bigint") if out is None else out
+
     def catalog(self) -> DataFrame:
         """(kind, name, detail) of everything registered."""
         rows = [("table", n, df.schema.simpleString()) for n, df in self.tables.items()]
@@ -70,6 +125,7 @@ class Engine:
         rows += [("index", n, f"{t}({c})") for n, (t, c) in self.indexes.items()]
         rows += [("graph", n, f"{g.nodes.schema.simpleString()} {g.edges.schema.simpleString()}") for n, g in self.graphs.items()]
         rows += [("procedure", n, t) for n, t in self.procedures.items()]
+        rows += [(kind, n, "") for kind, held in (("function", self.functions), ("aggregate", self.aggregates), ("table function", self.table_functions)) for n in held]
         return self.spark.createDataFrame(rows, "kind string, name string, detail string")
 
     # -- statements
@@ -172,7 +228,10 @@ class Engine:
         for f in df.schema:
             if f.metadata.get("not_null") and (f.name not in values or values[f.name] == ast.Literal(None)):
                 raise BindError(f"{f.name} is not null")
+        held = {f.name for f in df.schema if f.metadata.get("not_null")}
         row = one.df.select(*[(c.expr(one, values[f.name]).column if f.name in values else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+        if held and (lost := [k for k, v in row.select(*sorted(held)).first().asDict().items() if v is None]):
+            raise BindError(f"{', '.join(lost)} is not null")
         if upsert:
             key = self.keys.get(table)
             if key is None or key not in values:

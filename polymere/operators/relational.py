@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a side that every task may hold.
+HELD_BYTES = 64 << 20
 _HINTS = {"hash": "shuffle_hash", "merge": "merge", "broadcast": "broadcast"}
 
 
@@ -14,16 +16,43 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """Join on one key of each side; null keys match nothing.
 
     auto leaves the method to the planner and adaptive execution, which choose by
-    size; broadcast is for a right side whose size is known to be small.
+    size. broadcast sends the right side to all tasks if the plan's estimate or a
+    count of its rows proves it small; else the sides are hashed.
     """
+    if method == "broadcast" and not is_small(right):
+        method = "hash"
     if method != "auto":
         right = right.hint(_HINTS[method])
     return left.join(right, left[left_key] == right[right_key], how)
 
 
-def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
-    """Join on any condition."""
-    return left.join(right, condition, how)
+def is_small(df: DataFrame, held_bytes: int = HELD_BYTES) -> bool:
+    """Whether df is proven to fit into held_bytes: by the optimizer's estimate, which for files is their size, or by its rows and their longest row."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate <= held_bytes:
+        return True
+    n, longest = df.agg(F.count("*"), F.max(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n * (longest or 0) <= held_bytes
+
+
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner", held_bytes: int = HELD_BYTES) -> DataFrame:
+    """Join on any condition; there is no key to hash by, so each left row meets all right ones.
+
+    The right side is sent to all tasks if it is proven small. Else inner joins
+    take it in parts by hash, one after the other, which all tasks hold in turn;
+    a range condition is better served by range_join.
+    """
+    if is_small(right, held_bytes):
+        return left.join(F.broadcast(right), condition, how)
+    if how != "inner":
+        return left.join(right, condition, how)
+    estimate = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(64, -(-estimate // held_bytes))
+    some = [right.filter(F.pmod(F.xxhash64(*right.columns), F.lit(parts)) == i) for i in range(parts)]
+    out = left.join(some[0], condition)
+    for p in some[1:]:
+        out = out.unionByName(left.join(p, condition))
+    return out
 
 
 def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salts: int) -> DataFrame:

@@ -73,6 +73,13 @@ class Value:
         return self if self.kind is not None else Value(self.column, T.StringType())
 
 
+@dataclass(frozen=True)
+class _Flag:
+    """A column in place of an expression."""
+
+    column: str
+
+
 class Compiler:
     def __init__(self, engine: Engine, scope: dict[str, DataFrame] | None = None, params: dict | None = None, now=None) -> None:
         self.engine, self.scope, self.params, self.now = engine, scope or {}, params or {}, now
@@ -155,8 +162,10 @@ class Compiler:
                 return self.call(rel, name, [self.expr(rel, a).text for a in args])
             case ast.Binary(op, left, right):
                 return self.binary(op, self.expr(rel, left), self.expr(rel, right))
+            case _Flag(column):
+                return Value(F.col(column), T.BooleanType())
             case ast.InQuery():
-                raise BindError("`in (query)` is a condition of filter, alone or joined by and")
+                raise BindError("`in (query)` is for filter and select")
         raise TypeError(f"not an expression: {e!r}")
 
     def call(self, rel: Rel, name: str, args: list[Value]) -> Value:
@@ -264,14 +273,49 @@ class Compiler:
             if how == "left_anti":  # null is neither in nor out
                 df = df.filter("__probe is not null")
             return replace(rel, df=df.join(keys, F.col("__probe") == F.col("__member"), how).drop("__probe"))
-        if _has_query(condition):
-            raise BindError("`in (query)` is a condition of filter, alone or joined by and")
-        return replace(rel, df=rel.df.filter(self.expr(rel, condition).as_(T.BooleanType()).column))
+        marked, condition, flags = self.marked(rel, condition)
+        return replace(rel, df=marked.df.filter(self.expr(marked, condition).as_(T.BooleanType()).column).drop(*flags))
+
+    def marked(self, rel: Rel, e: object) -> tuple[Rel, object, list[str]]:
+        """rel with a column for each `in (query)` within e, which tells whether the row's value is among the query's; and e with these columns."""
+        flags: list[str] = []
+
+        def walk(rel: Rel, e: object) -> tuple[Rel, object]:
+            match e:
+                case ast.InQuery(operand, query):
+                    rel, operand = walk(rel, operand)
+                    flag = f"__in{len(rel.df.columns)}"
+                    found = self.pipeline(query).df
+                    keys = found.select(F.col(f"`{found.columns[0]}`").alias("__member"), F.lit(True).alias(flag)).filter("__member is not null").distinct()
+                    df = rel.df.withColumn("__probe", self.expr(rel, operand).text.column)
+                    # a null is neither in nor out
+                    there = F.when(F.col("__probe").isNotNull(), F.coalesce(flag, F.lit(False)))
+                    df = df.join(keys, F.col("__probe") == F.col("__member"), "left").withColumn(flag, there).drop("__probe", "__member")
+                    flags.append(flag)
+                    return replace(rel, df=df), _Flag(flag)
+                case ast.Binary(op, a, b):
+                    rel, a = walk(rel, a)
+                    rel, b = walk(rel, b)
+                    return rel, ast.Binary(op, a, b)
+                case ast.Unary(op, a):
+                    rel, a = walk(rel, a)
+                    return rel, ast.Unary(op, a)
+                case ast.Call(name, args):
+                    out = []
+                    for a in args:
+                        rel, a = walk(rel, a)
+                        out.append(a)
+                    return rel, ast.Call(name, tuple(out))
+            return rel, e
+
+        rel, e = walk(rel, e)
+        return rel, e, flags
 
     def project(self, rel: Rel, items: tuple[ast.Item, ...]) -> Rel:
         columns, cols = [], []
         for i, item in enumerate(items):
-            v = self.expr(rel, item.expr).text
+            rel, expr, _ = self.marked(rel, item.expr)
+            v = self.expr(rel, expr).text
             if item.alias:
                 name = item.alias
             elif isinstance(item.expr, ast.Ref):
@@ -295,6 +339,9 @@ class Compiler:
         out = []
         for a in found:
             values = [self.expr(rel, x) for x in a.args]
+            if a.function in self.engine.aggregates:
+                out.append(self.engine.aggregates[a.function](*[v.text.column for v in values]).alias(a.name))
+                continue
             numeric = a.function in ("sum", "mean", "avg", "percentile", "stddev", "variance", "median")
             columns = [(v.as_(T.DoubleType()) if numeric else v.text).column for v in values]
             try:

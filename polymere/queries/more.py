@@ -58,6 +58,43 @@ def lang_array_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("from t | select { p_partkey, items[*].sku as sizes, first.brand as first_brand }")
 
 
+book.pipe(
+    "lang_in_under_or", "from lineitem | filter l_quantity > 49 or l_suppkey in (from supplier | filter s_acctbal > 9000 | select { s_suppkey }) and not l_partkey in (from part | filter p_size < 10 | select { p_partkey }) | select { l_orderkey, l_linenumber, l_suppkey in (from supplier | filter s_nationkey == 3 | select { s_suppkey }) as home }",
+    "SELECT l_orderkey, l_linenumber, l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) AS home FROM lineitem WHERE l_quantity > 49 OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000) AND NOT l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)",
+    "lineitem supplier part",
+)
+
+
+@book.add("SELECT l_returnflag, max(l_quantity) - min(l_quantity) AS spread, sum(l_quantity * l_quantity) AS squares FROM lineitem GROUP BY 1")
+def registered_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "lineitem").register_aggregate("spread", lambda c: F.max(c) - F.min(c)).register_aggregate("squares", lambda c: F.sum(c * c))
+    return e.query("from lineitem | group_by l_returnflag { spread: spread(l_quantity), squares: squares(l_quantity) }")
+
+
+@book.add("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")
+def procedure_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "nation", "region")
+    e.register_procedure("of_region", "create view chosen as from region | filter r_name == \"EUROPE\";\nfrom nation | join chosen c on nation.n_regionkey == c.r_regionkey | select { n_name, c.r_name as r_name }")
+    return e.call("of_region")
+
+
+@book.add("SELECT i AS n, i * i AS square FROM range(1, 101) t(i)")
+def registered_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir).register_table_function("squares", lambda n: spark.range(1, n + 1).select(F.col("id").alias("n"), (F.col("id") * F.col("id")).alias("square")))
+    return e.register("s", e.table_function("squares", 100)).query("from s")
+
+
+@book.add("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE (props->>'$.k')::BIGINT % 2 = 0")
+def promoted_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "events").promote("events", "k", "bigint", "props.k")
+    return e.query("from events | filter k - k / 2 * 2 == 0 | select { event_id, k }")
+
+
+@book.add("SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
+def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, "nation", "orders").counts()
+
+
 def _world(spark: SparkSession, sf_dir: str):
     return engine(spark, sf_dir).register_graph("world", _nodes(spark, sf_dir), _edges(spark, sf_dir))
 
