@@ -231,8 +231,15 @@ _IN = "('eriner', 'attion', 'thanea')"
 _SCORED = f"s AS (SELECT doc_id, sum((1 + ln(tf)) * ln(n / df)) AS score, count(*) AS k FROM p JOIN df USING (term), n WHERE term IN {_IN} GROUP BY 1)"
 
 
-def _index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.index(table(spark, sf_dir, "documents"), stemmed=False)
+_indexes: dict[tuple[str, str, bool], search.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> search.Index:
+    """The index of a folder's documents, built by the session's first query that needs it, and then used by all."""
+    name = (spark.sparkContext.applicationId, sf_dir, stemmed)
+    if name not in _indexes:
+        _indexes[name] = search.index(table(spark, sf_dir, "documents"), stemmed=stemmed)
+    return _indexes[name]
 
 
 @book.add(f"WITH {_WORDS} SELECT term, df.df AS doc_freq, sum(tf)::BIGINT AS occurrences FROM p JOIN df USING (term) GROUP BY 1, 2")
@@ -269,7 +276,7 @@ def search_fuzzy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book.add()
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return search.ranked(search.index(docs), docs, _QUERY, 1, 20)
+    return search.ranked(_index(spark, sf_dir, True), docs, _QUERY, 1, 20)
 
 
 # -- vectors

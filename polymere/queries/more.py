@@ -287,6 +287,13 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIR = "eriner thanea"
 
 
+@book.add(f"WITH {_WORDS} SELECT term, count(*) AS postings, sum(tf)::BIGINT AS words FROM p GROUP BY term")
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built anew, with a position for each word."""
+    postings = search.index(table(spark, sf_dir, "documents"), stemmed=False).postings
+    return postings.groupBy("term").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).cast("bigint").alias("words"))
+
+
 @book.add(f"WITH {_WORDS}, o AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id FROM o WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'eriner' AND w[i + 1] = 'thanea')) > 0")
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.phrase(_index(spark, sf_dir), _PAIR)
