@@ -585,7 +585,7 @@ def stats_sketch_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.crossJoin(F.broadcast(statistics.distinct_estimate(li, "l_orderkey", by="l_returnflag"))).select("distinct_values", (F.abs(F.col("estimate") - F.col("distinct_values")) <= 0.03 * F.col("distinct_values")).alias("near"))  # one row each
 
 
-_HISTOGRAM = """r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS rn, count(*) OVER () AS m FROM orders), k AS (SELECT DISTINCT v AS c FROM r, (SELECT unnest(range(1, 21)) AS i) WHERE rn = ceil(i * m / 20.0)),
+_HISTOGRAM = """r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS rn, count(*) OVER () AS m FROM orders), k AS (SELECT DISTINCT v AS c FROM r, (SELECT unnest(range(1, 21)) AS i) WHERE rn = ceil((i::DOUBLE / 20) * m)),
 h AS (SELECT (SELECT count(*) FROM k WHERE c < v) AS bucket, v FROM r), b AS (SELECT bucket, min(v) AS lo, max(v) AS hi, count(*) AS n FROM h GROUP BY 1)"""
 
 
