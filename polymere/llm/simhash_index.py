@@ -274,11 +274,16 @@ def entry_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, group: int, gr
 def indexed_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     """(a, b): near pairs which connect whatever nodes (node, hi, lo) within `distance` connect."""
     chunks = max(1, -(-nodes.count() // CHUNK))
-    of = list(combinations(range(chunks), 2)) or [(0, 0)]
-    groups = max(GROUPS, -(-TASKS // len(of)))
-    tasks = [[t * groups + g for t, pair in enumerate(of) if c in pair for g in range(groups)] for c in range(chunks)]
-    chunk = F.pmod(F.xxhash64("hi", "lo"), F.lit(chunks)).cast("int")
-    sent = nodes.select("node", "hi", "lo", F.explode(F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in tasks]), chunk + 1)).alias("task"))
+    pairs = max(1, chunks * (chunks - 1) // 2)
+    groups = max(GROUPS, -(-TASKS // pairs))
+    # a fingerprint goes to each pair that its chunk is of: pairs are numbered by the lesser chunk, then by the greater
+    sent = nodes.select("node", "hi", "lo", F.pmod(F.xxhash64("hi", "lo"), F.lit(chunks)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("d"))
+    if chunks > 1:
+        low, high = F.least("c", "d"), F.greatest("c", "d")
+        sent = sent.filter("c <> d").withColumn("pair", F.shiftright(low * (2 * chunks - 1 - low), 1) + high - low - 1)
+    else:
+        sent = sent.withColumn("pair", F.lit(0))
+    sent = sent.select("node", "hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "pair").select("node", "hi", "lo", (F.col("pair") * groups + F.col("g")).cast("int").alias("task"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -288,7 +293,7 @@ def indexed_pairs(nodes: DataFrame, distance: int) -> DataFrame:
             p = entry_links(node, hi, lo, held[0].column("task")[0].as_py() % groups, groups, distance)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
-    return sent.repartitionById(groups * len(of), "task").mapInArrow(run, "a bigint, b bigint")
+    return sent.repartitionById(groups * pairs, "task").mapInArrow(run, "a bigint, b bigint")
 
 
 def connected(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
