@@ -231,3 +231,20 @@ def test_graphs_grow_and_errors_tell_where(spark):
     with pytest.raises(ValueError, match="[0-9]"):
         Engine(spark).query("from t | take 'x' 'y'")
     assert math.isinf(G.distance(G.parse("POINT EMPTY"), G.parse("POINT (0 0)")))
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from polymere.queries import queries
+
+    sample = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = lambda name: queries()[name](spark, sample)._jdf.queryExecution().executedPlan().toString()
+    text = plan("ts_range_scan")
+    pushed = text[text.index("PushedFilters") :].splitlines()[0]
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed and "EqualTo(user_id,3)" in pushed
+    assert "props" not in text[text.index("ReadSchema") :].splitlines()[0]
+    text = plan("kv_get")
+    assert "EqualTo(user_id,7)" in text[text.index("PushedFilters") :].splitlines()[0]
+    text = plan("pipe_filter_project")
+    assert "GreaterThanOrEqual(c_acctbal,5000" in text[text.index("PushedFilters") :].splitlines()[0]
+    assert "c_nationkey" not in text[text.index("ReadSchema") :].splitlines()[0]
