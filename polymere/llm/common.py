@@ -110,7 +110,7 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
 
 
-def text_slices(column: pa.Array | pa.ChunkedArray, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array | pa.ChunkedArray, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about `size` bytes: first row, end row, their bytes, and offsets (one more than rows).
 
     A null counts as an empty text; a text longer than `size` is a slice of its own.

@@ -72,7 +72,7 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 def fingerprints_of(texts: pa.Array) -> np.ndarray:
     """One row of 16 bytes for each text; nulls count as empty."""
     out = np.zeros((len(texts), BYTES), np.uint8)
-    for first, end, data, offsets in text_slices(pc.utf8_lower(texts), 1 << 20):
+    for first, end, data, offsets in text_slices(pc.utf8_lower(texts)):
         w = find_words(data, offsets)
         order = np.lexsort((w.hash, w.text))
         text, feature = w.text[order], w.hash[order]
