@@ -1,4 +1,4 @@
-"""Column statistics: sketches, equi-depth histograms, most common values, encoding advice."""
+"""Column statistics: sketches, exact equi-depth histograms, most common values, encoding advice."""
 
 from __future__ import annotations
 
@@ -14,14 +14,36 @@ def distinct_estimate(df: DataFrame, column: str, precision: int = 14, by: str |
     return parts.agg(F.hll_sketch_estimate(F.hll_union_agg("__s")).alias("estimate"))
 
 
-def histogram(df: DataFrame, column: str, buckets: int, accuracy: int = 10_000) -> DataFrame:
-    """(bucket, lo, hi, n): bounds by mergeable quantile sketches, so that no single task sorts the column.
+def _cuts(values: DataFrame, column: str, buckets: int) -> DataFrame:
+    """(__cuts): one row with the distinct values at the ranks ceil(i / buckets * n), i from 1 to buckets, exactly.
+
+    A sketch gives bounds closely below and above each rank, and counts between them tell which ranges hold the ranks, wherever
+    the sketch erred. Only these ranges' values are counted each, and their counts summed in order, so that no task sorts the column.
+    """
+    accuracy = max(10_000, 100 * buckets)
+    about = sorted({min(1.0, max(0.0, i / buckets + d / accuracy)) for i in range(1, buckets + 1) for d in (-2, 2)})
+    bounds = values.agg(F.array_distinct(F.percentile_approx(column, about, accuracy)).alias("__bounds"))
+    ranged = values.crossJoin(F.broadcast(bounds)).select(F.col(column).alias("v"), F.size(F.filter("__bounds", lambda c: c < F.col(column))).alias("part"))
+    # a row for each bound, and one
+    counts = ranged.groupBy("part").agg(F.count("*").alias("c"))
+    upto = counts.select("part", F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"), "c", F.sum("c").over(Window.partitionBy()).alias("m"))
+    ranks = F.explode(F.transform(F.array(*[F.lit(i / buckets) for i in range(1, buckets + 1)]), lambda q: F.ceil(q * F.col("m").cast("double")))).alias("rank")
+    sought = upto.select("part", (F.col("upto") - F.col("c")).alias("before"), "upto", ranks).filter("rank > before and rank <= upto").groupBy(F.col("part").alias("p")).agg(F.first("before").alias("before"), F.collect_set("rank").alias("ranks"))
+    each = ranged.join(F.broadcast(sought.select("p")), F.col("part") == F.col("p"), "left_semi").groupBy("part", "v").agg(F.count("*").alias("c"))
+    run = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = each.withColumn("to", F.sum("c").over(run)).join(F.broadcast(sought), F.col("part") == F.col("p"))
+    hit = at.filter(F.exists("ranks", lambda r: (r - F.col("before") > F.col("to") - F.col("c")) & (r - F.col("before") <= F.col("to"))))
+    return hit.agg(F.sort_array(F.collect_set("v")).alias("__cuts"))
+
+
+def histogram(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """(bucket, lo, hi, n): buckets of equal depth, whose bounds are the exact values at their ranks.
 
     A bucket holds lo < value <= hi, and the first its lo too; equal bounds make one bucket.
     """
-    cuts = df.agg(F.array_distinct(F.percentile_approx(column, [i / buckets for i in range(1, buckets + 1)], accuracy)).alias("__cuts"))
+    values = df.filter(F.col(column).isNotNull()).select(column)
     # one row of at most `buckets` numbers
-    placed = df.filter(F.col(column).isNotNull()).crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("__cuts", lambda c: c < F.col(column))))
+    placed = values.crossJoin(F.broadcast(_cuts(values, column, buckets))).withColumn("bucket", F.size(F.filter("__cuts", lambda c: c < F.col(column))))
     return placed.groupBy("bucket").agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n"))
 
 

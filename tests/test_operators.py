@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 
@@ -225,6 +226,19 @@ def test_masks_chains_and_roots(spark):
 # -- statistics, files, streams
 
 
+def test_cuts_of_histograms_are_exact(spark):
+    rng = random.Random(8)
+    for values, buckets in (([rng.gauss(0, 1) for _ in range(60_000)], 20), ([rng.choice([1.0, 2.0, 2.5]) for _ in range(900)] + [None] * 7, 8), ([4.0], 5)):
+        held = sorted(v for v in values if v is not None)
+        cuts = sorted({held[math.ceil(i / buckets * len(held)) - 1] for i in range(1, buckets + 1)})
+        want: dict = {}
+        for v in held:
+            want.setdefault(bisect.bisect_left(cuts, v), []).append(v)
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert sorted(map(tuple, statistics.histogram(df, "v", buckets).collect())) == [(b, vs[0], vs[-1], len(vs)) for b, vs in sorted(want.items())]
+    assert statistics.histogram(df.filter("v < 0"), "v", 3).collect() == []
+
+
 def test_sketches_and_histograms(spark):
     df = spark.range(20_000).withColumn("g", F.col("id") % 4)
     assert abs(statistics.distinct_estimate(df, "id", by="g").first()[0] - 20_000) < 600
