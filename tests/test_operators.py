@@ -14,6 +14,7 @@ from polymere.functions import geometry as G
 from polymere.functions import text as T
 from polymere.operators import graph, kv, rdf, search, security, series, spatial, statistics, vector
 from polymere.operators import relational as R
+from polymere.queries import models
 from polymere.sources import files
 from polymere.streaming import windows as stream
 
@@ -185,6 +186,31 @@ def test_geohash_projection_and_joins(spark):
     assert sorted((r.id, r.id2) for r in met) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
 
 
+def test_joins_of_classes_lose_no_pair(spark, tmp_path):
+    """All pairs of ids come back from pairs of classes and members, and rows at a place make no pairs."""
+    spark.range(1500).select((F.col("id") % 50 * 6120 + F.col("id") / 50 % 30 * 97).cast("bigint").alias("c_custkey")).distinct().write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(600).select((F.col("id") % 20 * 5100 + F.col("id") / 20 % 30 * 61).cast("bigint").alias("s_suppkey")).distinct().write.parquet(f"{tmp_path}/supplier.parquet")
+    at = {k: (k * 37 % 360 - 180, k * 17 % 170 - 85) for (k,) in spark.read.parquet(f"{tmp_path}/customer.parquet").collect()}
+    boxes = {k: (k * 53 % 340 - 170, k * 29 % 150 - 75) for (k,) in spark.read.parquet(f"{tmp_path}/supplier.parquet").collect()}
+
+    def members(rows, kind):
+        held: dict = {}
+        for r in rows:
+            if r.kind == kind:
+                held.setdefault(r.a, []).append(r.b)
+        return held
+
+    got = models.spatial_distance_join(spark, str(tmp_path)).collect()
+    same = members(got, "member")
+    assert sum(map(len, same.values())) == len(at) and len(got) < 5 * len(at)
+    pairs = {(min(i, j), max(i, j)) for r in got if r.kind == "pair" for i in same[r.a] for j in same[r.b]} | {(i, j) for m in same.values() for i in m for j in m if i < j}
+    assert pairs == {(i, j) for i, (x, y) in at.items() for j, (u, v) in at.items() if i < j and math.hypot(x - u, y - v) <= 5}
+    got = models.spatial_geometry_join(spark, str(tmp_path)).collect()
+    left, right = members(got, "box"), members(got, "point")
+    assert sum(map(len, left.values())) == len(boxes) and sum(map(len, right.values())) == len(at) and len(got) < 5 * len(at)
+    assert {(i, j) for r in got if r.kind == "pair" for i in left[r.a] for j in right[r.b]} == {(i, j) for i, (u, v) in boxes.items() for j, (x, y) in at.items() if u < x < u + 9 and v < y < v + 6}
+
+
 # -- triples
 
 
