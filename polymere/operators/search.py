@@ -1,7 +1,7 @@
 """Full-text search: postings, TF-IDF, BM25, fuzzy terms, snippets.
 
-Words are split, lowered and counted in the JVM. Only the distinct vocabulary is
-stemmed in Python, and joined back.
+Words are split and lowered in the JVM, and a document's words are counted where
+it is read, by Arrow batches. Only the distinct words of a batch are stemmed.
 """
 
 from __future__ import annotations
@@ -9,13 +9,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..plans.scratch import cut
+from .relational import is_small
+
+#: Words that a task counts at once, and words whose postings one task sorts.
+_WORDS_HELD, _WORDS_SORTED = 1 << 18, 1 << 21
 
 
 @F.pandas_udf(StringType())  # a type in words would need a session at import
@@ -45,13 +53,64 @@ class Index:
         return self.postings.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("occurrences"))
 
 
+def _split(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def words_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(doc_id, position, word): stop words are left out, but count for positions."""
-    parts = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.posexplode(parts).alias("position", "word"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.posexplode(_split(text)).alias("position", "word"))
     return rows.filter(~F.col("word").isin(sorted(T.STOPWORDS)))
 
 
+def _counted(ids: pa.Array, lists: pa.Array, stemmed: bool, positions: bool, stems: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Postings of documents' lists of words, by document and, in it, in no set order of terms."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, flat, first = np.cumsum(lengths), lists.flatten(), 0
+    while first < len(lengths):
+        before = int(ends[first] - lengths[first])
+        last = max(first + 1, int(np.searchsorted(ends, before + _WORDS_HELD, "right")))
+        n, words = lengths[first:last], flat.slice(before, int(ends[last - 1]) - before)
+        coded = words.dictionary_encode()
+        terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        keep = ~pc.is_in(terms, value_set=pa.array(sorted(T.STOPWORDS), terms.type)).to_numpy(zero_copy_only=False)[code]
+        if stemmed:
+            if len(stems) > 1_000_000:
+                stems.clear()
+            for w in terms.to_pylist():
+                if w not in stems:
+                    stems[w] = T.stem(w)
+            coded = pa.array([stems[w] for w in terms.to_pylist()], terms.type).dictionary_encode()
+            terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+        doc = np.repeat(np.arange(len(n)), n)[keep]
+        at = (np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n))[keep]
+        key = doc * max(1, len(terms)) + code[keep]
+        # stable, so a term's positions stay in order
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        one = order[starts]
+        out = [ids.slice(first, last - first).take(pa.array(doc[one])), terms.take(pa.array(code[keep][one])), pa.array(np.diff(starts, append=len(order)))]
+        if positions:
+            out.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32))))
+        if len(starts):
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "term", "tf", *(["positions"] if positions else [])])
+        first = last
+
+
+def _postings(docs: DataFrame, id_column: str, text: str, stemmed: bool, positions: bool) -> DataFrame:
+    """doc_id, term, tf, and positions if wanted, of each row of docs on its own; nothing is exchanged."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), _split(text).alias("words"))
+    fields = [S.StructField("doc_id", rows.schema["doc_id"].dataType), S.StructField("term", S.StringType()), S.StructField("tf", S.LongType())]
+    schema = S.StructType(fields + ([S.StructField("positions", S.ArrayType(S.IntegerType()))] if positions else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+        for b in batches:
+            yield from _counted(b.column(0), b.column(1), stemmed, positions, stems)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _with_terms(words: DataFrame, stemmed: bool) -> DataFrame:
     """words with `term` for `word`; only the distinct words are stemmed."""
     if not stemmed:
@@ -63,17 +122,19 @@ def _with_terms(words: DataFrame, stemmed: bool) -> DataFrame:
 def index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", stemmed: bool = True, positions: bool = True) -> Index:
     """The postings are written to the shared folder once, sorted by term, so that a query reads its own terms' row groups; so are lengths.
 
-    Ranges of (term, doc_id) keep a frequent term's postings from being one
-    task's. Positions, which phrases need, can be left out.
+    A document's postings are made where it is read, and exchanged once, to be sorted. Ranges of (term, doc_id), as many as the words
+    need, keep a frequent term's postings from being one task's. Rows of one id are one document. Positions, which phrases need, can be left out.
     """
-    words = _with_terms(words_of(docs, id_column, text), stemmed)
-    postings = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), *([F.sort_array(F.collect_list("position")).alias("positions")] if positions else []))
-    postings = cut(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
-    sums = postings.groupBy(F.col("doc_id").alias("__id")).agg(F.sum("tf").alias("length"))
-    ids = docs.select(F.col(id_column).alias("doc_id"))
-    held = cut(ids.join(sums, F.col("doc_id") == F.col("__id"), "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length")), "lengths")
-    n, mean = held.agg(F.count("*"), F.avg("length")).first()
-    return Index(postings, held, stemmed, n, mean or 0.0)
+    kept = F.size(F.filter(_split(text), lambda w: ~w.isin(sorted(T.STOPWORDS))))
+    sums = docs.groupBy(F.col(id_column).alias("doc_id")).agg(F.sum(F.when(F.col(text).isNull(), 0).otherwise(kept)).alias("length"), F.count("*").alias("__rows"))
+    lengths = cut(sums, "lengths")
+    n, mean, words, repeated = lengths.agg(F.count("*"), F.avg("length"), F.sum("length"), F.max("__rows")).first()
+    postings = _postings(docs, id_column, text, stemmed, positions)
+    if (repeated or 0) > 1:
+        offsets = [F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")] if positions else []
+        postings = postings.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), *offsets)
+    postings = postings.repartitionByRange(max(1, -(-(words or 0) // _WORDS_SORTED)), "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    return Index(cut(postings, "postings"), lengths.select("doc_id", "length"), stemmed, n, mean or 0.0)
 
 
 def save(ix: Index, path: str) -> None:
@@ -142,14 +203,20 @@ def rank(ix: Index, query: str, ids: DataFrame, k1: float = 1.2, b: float = 0.75
 def bm25_all(ix: Index, queries: DataFrame, k: int, id_column: str = "item_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents for every row of queries, by its distinct terms.
 
-    Terms of queries meet postings by an equality that hashes. Scores are summed
-    before they are exchanged, and ranks taken for each query.
+    Terms of queries are sent to all tasks if they are proven few; else they meet postings by an equality that hashes. Postings are
+    exchanged once, by document, where scores are summed, and only each task's best for a query are exchanged again.
     """
     asked = _with_terms(words_of(queries, id_column, text), ix.stemmed).select(F.col("doc_id").alias("query_id"), F.col("term").alias("__term")).distinct()
-    hit = ix.postings.select("doc_id", "term", "tf").join(asked.select(F.col("__term").alias("__t")).distinct(), F.col("term") == F.col("__t"), "left_semi")
+    few = is_small(asked)
+    sent = F.broadcast if few else lambda df: df  # few: proven small
+    hit = ix.postings.select("doc_id", "term", "tf").join(sent(asked.select(F.col("__term").alias("__t")).distinct()), F.col("term") == F.col("__t"), "left_semi")
+    # a row for each term that is asked for
     df = hit.groupBy(F.col("term").alias("__t")).agg(F.count("*").alias("df"))
-    parts = hit.join(df, F.col("term") == F.col("__t")).join(ix.docs, "doc_id").select("doc_id", "term", _bm25(ix, k1, b).alias("s"))
-    scores = parts.join(asked, F.col("term") == F.col("__term")).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score")).filter("score > 0")
+    by_term = asked.groupBy("__term").agg(F.collect_list("query_id").alias("__asking")) if few else asked
+    parts = hit.join(ix.docs, "doc_id").join(sent(df), F.col("term") == F.col("__t")).select("doc_id", "term", _bm25(ix, k1, b).alias("s"))
+    met = parts.join(sent(by_term), F.col("term") == F.col("__term"))
+    met = met.select("doc_id", "s", F.explode("__asking").alias("query_id")) if few else met
+    scores = met.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score")).filter("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -162,8 +229,7 @@ def fuzzy_terms(vocabulary: DataFrame, word: Column | str, distance: int) -> Dat
 
 def fuzzy_search(ix: Index, word: str, distance: int) -> DataFrame:
     """(doc_id) of documents with any term within the distance."""
-    close = fuzzy_terms(ix.postings.select("term").distinct(), word, distance)
-    return ix.postings.join(close, "term", "left_semi").select("doc_id").distinct()
+    return ix.postings.filter(F.levenshtein("term", F.lit(word), distance) >= 0).select("doc_id").distinct()
 
 
 def _back_by(i: int):

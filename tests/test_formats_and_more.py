@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +210,38 @@ def test_saved_index_and_many_queries(spark, tmp_path):
     assert [r.doc_id for r in search.rank(ix, "fox", docs.filter("doc_id >= 2")).collect()] == [2, 3, 4]
 
 
+def test_postings_are_counted_where_documents_are_read(spark, monkeypatch):
+    lists = pa.array([["b", "the", "b"], None, [], ["b", "c"], ["c", "b", "a", "c", "c", "d"], ["b"]])
+    counted = lambda: sorted(((r["doc_id"], r["term"], r["positions"]) for b in search._counted(pa.array(range(6)), lists, False, True, {}) for r in b.to_pylist()), key=str)
+    whole = counted()
+    monkeypatch.setattr(search, "_WORDS_HELD", 4)
+    assert counted() == whole == [(0, "b", [0, 2]), (3, "b", [0]), (3, "c", [1]), (4, "b", [1]), (4, "c", [0, 3, 4]), (4, "d", [5]), (5, "b", [0])]
+    docs = spark.createDataFrame([(1, "Fox, the fox; ran RUNNING"), (2, None), (3, "a b-c b"), (3, "b a fox"), (4, ""), (5, "the"), (6, "dogs dog " * 4)], "doc_id bigint, text string")
+    for stemmed in (False, True):
+        words = search._with_terms(search.words_of(docs, "doc_id", "text"), stemmed)
+        want = sorted((r.doc_id, r.term, r.tf, r.at) for r in words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("at")).collect())
+        made = search._postings(docs, "doc_id", "text", stemmed, True)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        ix = search.index(docs, stemmed=stemmed)
+        assert sorted((r.doc_id, r.term, r.tf, r.positions) for r in ix.postings.collect()) == want
+        assert {r.doc_id: r.length for r in ix.docs.collect()} == {1: 4, 2: 0, 3: 5, 4: 0, 5: 0, 6: 8} and ix.n == 6
+        assert sorted(map(tuple, search.index(docs, stemmed=stemmed, positions=False).postings.collect())) == [r[:3] for r in want]
+
+
+def test_many_queries_exchange_postings_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 17}" for j in range(i % 9))) for i in range(300)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 3} w{i * 5 % 17}") for i in range(12)], "item_id bigint, text string")
+    ix = search.index(docs, stemmed=False)
+    found = search.bm25_all(ix, asked, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # counts of terms, and no postings
+    assert plan.count("Exchange hashpartitioning(term") == 1 and not re.search(r"hashpartitioning\(query_id#\w+, doc_id", plan)
+    monkeypatch.setattr(search, "is_small", lambda df: False)
+    many = search.bm25_all(ix, asked, 4)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert rows(found) == rows(many) and len(rows(found)) > 40
+
+
 def test_recall_of_cells(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     ix = vector.build_cells(e)
