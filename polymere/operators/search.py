@@ -213,7 +213,7 @@ def bm25_all(ix: Index, queries: DataFrame, k: int, id_column: str = "item_id",
     # a row for each term that is asked for
     df = hit.groupBy(F.col("term").alias("__t")).agg(F.count("*").alias("df"))
     by_term = asked.groupBy("__term").agg(F.collect_list("query_id").alias("__asking")) if few else asked
-    parts = hit.join(ix.docs, "doc_id").join(sent(df), F.col("term") == F.col("__t")).select("doc_id", "term", _bm25(ix, k1, b).alias("s"))
+    parts = hit.repartition("doc_id").join(ix.docs, "doc_id").join(sent(df), F.col("term") == F.col("__t")).select("doc_id", "term", _bm25(ix, k1, b).alias("s"))
     met = parts.join(sent(by_term), F.col("term") == F.col("__term"))
     met = met.select("doc_id", "s", F.explode("__asking").alias("query_id")) if few else met
     scores = met.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score")).filter("score > 0")
