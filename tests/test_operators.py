@@ -6,6 +6,7 @@ import bisect
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,38 @@ def test_nearest_to_all_against_one_by_one(spark):
         assert got == want
 
 
+def test_a_task_holds_and_sends_its_best_only(spark, monkeypatch):
+    """Ties go to the least ids across blocks and batches, and a task sends k rows for a query however many batches it has."""
+    rng = random.Random(9)
+    s = np.array([[rng.choice([0.1, 0.5, 0.9]) for _ in range(30)] for _ in range(7)])
+    row, ids, value = vector._best(s, np.arange(30) * 3, 4)
+    want = [(i, j * 3, v) for i in range(7) for j, v in sorted(enumerate(s[i]), key=lambda p: (-p[1], p[0]))[:4]]
+    assert list(zip(row.tolist(), ids.tolist(), value.tolist())) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        df = spark.createDataFrame([(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(200)], "vec_id bigint, embedding array<float>").coalesce(1)
+        q = df.filter("vec_id % 20 = 0")
+        got = vector.nearest_to_all(q, df, 3)
+        wider = vector.nearest_to_all(q, df, 200).filter("rank <= 3")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wider.collect()))
+        # what is exchanged, before it is ranked
+        monkeypatch.setattr(type(df), "withColumn", lambda self, *a: self.withColumns({"rank": F.lit(1)}))
+        assert vector.nearest_to_all(q, df, 3).count() == 30
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_queries_of_cells_are_passed_by_what_they_look_into(spark, monkeypatch):
+    rng = random.Random(10)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)], "vec_id bigint, embedding array<float>")
+    ix, held = vector.build_cells(df), []
+    want = sorted(map(tuple, vector.search_cells(ix, df, 5, probes=20).collect()))
+    real = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: held.append(v[1].nbytes + v[2].nbytes) or real(v))
+    assert sorted(map(tuple, vector.search_cells(ix, df, 5, probes=20, held_bytes=16_000).collect())) == want
+    assert len(held) == 3 and max(held) < 24_000
+
+
 # -- space
 
 SQUARE, INNER, APART = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON ((1 1, 2 1, 2 2, 1 2, 1 1))", "POLYGON ((9 9, 10 9, 10 10, 9 10, 9 9))"
