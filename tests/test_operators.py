@@ -165,10 +165,16 @@ def test_queries_of_cells_are_passed_by_what_they_look_into(spark, monkeypatch):
     df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)], "vec_id bigint, embedding array<float>")
     ix, held = vector.build_cells(df), []
     want = sorted(map(tuple, vector.search_cells(ix, df, 5, probes=20).collect()))
+    # all cells are looked into, so the best are those of all rows; a task sends its own only
+    assert want == sorted(map(tuple, vector.nearest_to_all(df, df, 5).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "withColumn", lambda self, *a: self.withColumns({"rank": F.lit(1)}))
+        tasks = vector.CellIndex(ix.rows.coalesce(1), ix.centers, ix.probes)
+        assert vector.search_cells(tasks, df, 5, probes=20).count() == 400 * 5
     real = spark.sparkContext.broadcast
     monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: held.append(v[1].nbytes + v[2].nbytes) or real(v))
-    assert sorted(map(tuple, vector.search_cells(ix, df, 5, probes=20, held_bytes=16_000).collect())) == want
-    assert len(held) == 3 and max(held) < 24_000
+    assert sorted(map(tuple, vector.search_cells(ix, df, 5, probes=20, held_bytes=60_000).collect())) == want
+    assert len(held) == 4 and max(held) < 24_000
 
 
 # -- space
