@@ -83,7 +83,8 @@ def chain(log: DataFrame, order: str, content: Sequence[str], segment: str) -> D
     after the other; entries stream through the task in order, and it holds one
     hash. The order must be unique within a segment.
     """
-    rows = log.withColumn("entry_hash", _content_hash(order, content)).withColumn("prev_hash", F.lit(""))
+    # hashes can't be compressed, so they are made after the exchange
+    rows = log.repartition(segment).sortWithinPartitions(segment, order).withColumn("entry_hash", _content_hash(order, content)).withColumn("prev_hash", F.lit(""))
     schema = rows.schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def chain(log: DataFrame, order: str, content: Sequence[str], segment: str) -> D
             columns = [*b.columns[:-2], pa.array(out, b.schema.field("entry_hash").type), pa.array(before, b.schema.field("prev_hash").type)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return rows.repartition(segment).sortWithinPartitions(segment, order).mapInArrow(fold, schema)
+    return rows.mapInArrow(fold, schema)
 
 
 def heads(chained: DataFrame, order: str, segment: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -520,14 +520,15 @@ def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
 @book.add("SELECT event_id FROM (SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before = 'purchase'")
 def audit_forged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases turned into views, with hashes made anew and the next entries' links mended: the next entries give it away."""
-    made = _chained(spark, sf_dir)
-    forged = made.withColumn("event_type", F.when(F.col("event_type") == "purchase", "view").otherwise(F.col("event_type"))).withColumn("__was", F.col("entry_hash"))
-    forged = forged.withColumn("entry_hash", security._entry_hash(F.col("prev_hash"), "event_id", ["event_type", "user_id"]))
-    links = forged.filter("entry_hash <> __was").select(F.col("__was").alias("__old"), F.col("entry_hash").alias("__new"))
-    mended = forged.drop("__was").join(links, F.col("prev_hash") == F.col("__old"), "left").withColumn("prev_hash", F.coalesce("__new", "prev_hash")).drop("__old", "__new")
+    bought = F.col("event_type") == "purchase"
     # an entry that was not forged keeps its hash, whatever its link says
-    kept = made.select(F.col("event_id").alias("__id"), F.col("entry_hash").alias("__hash"), F.col("event_type").alias("__type"))
-    mended = mended.join(kept, F.col("event_id") == F.col("__id")).withColumn("entry_hash", F.when(F.col("__type") == "purchase", F.col("entry_hash")).otherwise(F.col("__hash"))).drop("__id", "__hash", "__type")
+    forged = _chained(spark, sf_dir).select("event_id", F.when(bought, "view").otherwise(F.col("event_type")).alias("event_type"), "user_id", "prev_hash", F.col("entry_hash").alias("__was"), bought.alias("__forged"))
+    made_anew = security._entry_hash(F.col("prev_hash"), "event_id", ["event_type", "user_id"])
+    forged = forged.withColumn("entry_hash", F.when(F.col("__forged"), made_anew).otherwise(F.col("__was")))
+    # a link is to the entry before, in the order by which links are looked at too: one exchange for both
+    before = Window.partitionBy("user_id").orderBy("event_id")
+    links = F.when(F.lag("__was").over(before) == F.col("prev_hash"), F.lag("entry_hash").over(before))
+    mended = forged.withColumn("prev_hash", F.coalesce(links, "prev_hash")).drop("__was", "__forged")
     return security.broken_links(mended, "event_id", ["event_type", "user_id"], "user_id").select("event_id")
 
 

@@ -15,6 +15,7 @@ from polymere.engine import Engine
 from polymere.functions import geometry as G
 from polymere.functions.hashes import fnv1a
 from polymere.operators import documents, graph, kv, rdf, search, security, spatial, vector
+from polymere.queries import more
 from polymere.sources import files, triples
 
 SHAPES = [
@@ -242,6 +243,13 @@ def test_many_queries_exchange_postings_once(spark, monkeypatch):
     assert rows(found) == rows(many) and len(rows(found)) > 40
 
 
+def test_forged_chain_is_made_once_and_exchanged_twice(spark):
+    plan = more.audit_forged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("MapInArrow") == 1 and "Join" not in plan
+    # hashes are made after the chain's rows are exchanged
+    assert "sha2(" in plan and plan.index("sha2(") < plan.rindex("Exchange hashpartitioning")
+
+
 def test_recall_of_cells(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     ix = vector.build_cells(e)
