@@ -119,6 +119,14 @@ def test_search_ranks_and_marks(spark):
     assert T.snippet("none", ["cat"]) is None
 
 
+def test_salted_join_sends_no_repeated_side_to_all_tasks(spark, tmp_path):
+    spark.range(500).write.parquet(str(tmp_path / "small"))
+    left = spark.range(4000).select((F.col("id") % 7).alias("k"), "id")
+    joined = R.salted_join(left, spark.read.parquet(str(tmp_path / "small")).withColumnRenamed("id", "key"), "k", "key", 8)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan and joined.count() == 4000
+
+
 # -- vectors
 
 
